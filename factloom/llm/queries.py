@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import format_duplicates, name_variants, repetition
+from factloom.llm import format_duplicates, mixing, name_variants, packing, repetition
+from factloom.llm.token_sizes import token_sizes
 from factloom.plans.layout import cut
 from factloom.sources.tables import table
 
@@ -53,6 +54,48 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return name_variants.link_names(table(spark, folder, "entities"), table(spark, folder, "name_forms")).select("id", F.col("cluster").alias("cluster_id"))
 
 
+def _packs(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = token_sizes(table(spark, folder, "documents"), id="doc_id", text="text")
+    return packing.pack(sizes, table(spark, folder, "pack_sizes"), id="doc_id", size="n_tokens", pack_id="pack_id", capacity="capacity_tokens")
+
+
+def p6_packs(spark: SparkSession, folder: str) -> DataFrame:
+    """The pack of every document, for every capacity."""
+    return _packs(spark, folder)
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the packs of each capacity are."""
+    return packing.fill_report(_packs(spark, folder), table(spark, folder, "pack_sizes"), pack_id="pack_id", capacity="capacity_tokens")
+
+
+def _uses(spark: SparkSession, folder: str, total: str | None = None) -> DataFrame:
+    sizes = token_sizes(table(spark, folder, "documents"), id="doc_id", text="text", keep=["source", "lang", "kind"])
+    return mixing.mix(
+        sizes, table(spark, folder, "mix_targets"), id="doc_id", source="source", lang="lang", domain="kind", size="n_tokens", mix_id="mix_id", share="target_share",
+        max_repeats="max_repeats", total_tokens=total,
+    )
+
+
+def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each mix uses each document."""
+    return _uses(spark, folder)
+
+
+def _shares(spark: SparkSession, folder: str, total: str | None = None) -> DataFrame:
+    return mixing.shares(_uses(spark, folder, total), table(spark, folder, "mix_targets"), source="source", size="n_tokens", mix_id="mix_id", share="target_share")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share each source reaches in each mix."""
+    return _shares(spark, folder)
+
+
+def p7_shares_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares where a mix is to be as large as all its sources together, so that small sources run short."""
+    return _shares(spark, folder, "all")
+
+
 def _measured(spark: SparkSession, folder: str) -> DataFrame:
     return cut(repetition.measure(table(spark, folder, "documents"), id="doc_id", text="text", keep=["lang"]))
 
@@ -94,7 +137,11 @@ WITH w AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i
  s AS (SELECT doc_id, count(*) AS n_words, avg(rep) AS share FROM r GROUP BY doc_id)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_clusters": p3_clusters, "p8_found": p8_found, "p8_shares": p8_shares, "p8_cutoffs": p8_cutoffs}
+QUERIES = {
+    "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_clusters": p3_clusters,
+    "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_shares_all": p7_shares_all,
+    "p8_found": p8_found, "p8_shares": p8_shares, "p8_cutoffs": p8_cutoffs,
+}
 SQL = {
     "p2_found": _P2_CTE + "SELECT first AS first_seq, seq FROM g WHERE first <> seq",
     "p2_records": _P2_CTE + "SELECT first AS seq, arg_min(subject, seq) AS subject, arg_min(predicate, seq) AS predicate, arg_min(object, seq) AS object, count(*) AS n_copies FROM g GROUP BY first",
