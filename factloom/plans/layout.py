@@ -63,3 +63,20 @@ def hot_bounds(df: DataFrame, keys: list[str], at: str, limit: int, grain: int)
 def shard_of(bounds: Column, at: Column) -> Column:
     """The shard of an instant: the number of split points at or before it."""
     return F.when(bounds.isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda b: b <= at)))
+
+
+def global_rank(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` with ``rank``, its place (from 1) in a total order over all rows, without gathering them in one task.
+
+    Rows are sorted across partitions; a row's place is its place within its partition plus the sizes of those before, one number each.
+    """
+    held = cut(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
+    sizes = sorted((r.p, r.n) for r in held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, before = [], 0
+    for p, n in sizes:
+        offsets.append((p, before))
+        before += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "__p bigint, __before bigint"))  # a row per partition
+    within = F.col("__m") - F.shiftleft(F.col("__p"), 33)
+    return held.withColumn("__p", part).join(starts, "__p").withColumn("rank", F.col("__before") + within + 1).drop("__m", "__p", "__before")
