@@ -108,6 +108,12 @@ def admission(subject: Column, object_: Column, confidence: Column, epistemic: C
     return admit, F.when(admit, score).otherwise(0.0)
 
 
+def complete_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; false for null. Parsers stop at the end of a value, so it is read as an array's only element."""
+    inside = F.concat(F.lit("["), text, F.lit("]"))
+    return F.coalesce(F.json_array_length(inside) == 1, F.lit(False)) & F.try_parse_json(inside).isNotNull()
+
+
 def one_line(text: Column) -> Column:
     return F.regexp_replace(text, r"\s*\n\s*", " ")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ORDER = F.struct("hlc", "writer", "seq")
+ORDER = ("hlc", "writer", "seq")
 
 
 def dashed(payload: Column) -> Column:
@@ -35,7 +35,7 @@ def facts(log: DataFrame) -> DataFrame:
     The first insert of an id counts; closings and reinforcements count where the fact had been inserted before them, the last of each wins.
     """
     p = lambda path: F.get_json_object("j", path)
-    rows = log.where(F.col("t").isin("insert-fact", "invalidate", "reinforce")).withColumn("j", dashed(F.col("payload"))).withColumn("o", ORDER)
+    rows = log.where(F.col("t").isin("insert-fact", "invalidate", "reinforce")).withColumn("j", dashed(F.col("payload"))).withColumn("o", F.struct(*ORDER))
     insert = F.col("t") == "insert-fact"
     rows = rows.select("t", "o", F.when(insert, p("$.fact.id")).otherwise(p("$.fact-id")).alias("id"), "j").where("id IS NOT NULL")
     made = F.when(insert, F.col("o"))
@@ -56,14 +56,14 @@ def conflict_links(log: DataFrame) -> DataFrame:
     """The links after replay: of each pair the last link or unlink counts. ``fact_id``, ``candidate_id``."""
     rows = log.where(F.col("t").isin("link-conflicts", "unlink-conflicts")).withColumn("j", dashed(F.col("payload")))
     ids = F.from_json(F.get_json_object("j", "$.ids"), T.ArrayType(T.StringType()))
-    each = rows.select(F.get_json_object("j", "$.fact-id").alias("fact_id"), F.explode(ids).alias("candidate_id"), (F.col("t") == "link-conflicts").alias("linked"), ORDER.alias("o"))
+    each = rows.select(F.get_json_object("j", "$.fact-id").alias("fact_id"), F.explode(ids).alias("candidate_id"), (F.col("t") == "link-conflicts").alias("linked"), F.struct(*ORDER).alias("o"))
     return each.groupBy("fact_id", "candidate_id").agg(F.max_by("linked", "o").alias("linked")).where("linked").drop("linked")
 
 
 def episodes(log: DataFrame) -> DataFrame:
     """The episodes after replay: the first opening, and the last closing after it."""
     p = lambda path: F.get_json_object("j", path)
-    rows = log.where(F.col("t").isin("open-episode", "close-episode")).withColumn("j", dashed(F.col("payload"))).withColumn("o", ORDER).withColumn("id", F.coalesce(p("$.episode.id"), p("$.id"))).where("id IS NOT NULL")
+    rows = log.where(F.col("t").isin("open-episode", "close-episode")).withColumn("j", dashed(F.col("payload"))).withColumn("o", F.struct(*ORDER)).withColumn("id", F.coalesce(p("$.episode.id"), p("$.id"))).where("id IS NOT NULL")
     opened = rows.where("t = 'open-episode'").groupBy("id").agg(F.min("o").alias("o0"), F.min_by(F.coalesce(p("$.episode.summary"), p("$.summary")), "o").alias("first_summary"))
     closed = rows.where("t = 'close-episode'").select("id", "o", "j").join(opened.select("id", "o0"), "id").where("o > o0").groupBy("id").agg(F.max_by(p("$.summary"), "o").alias("closing"), F.max("o.hlc").alias("closed_hlc"))
     return opened.join(closed, "id", "left").select("id", F.col("o0.hlc").alias("opened_hlc"), "closed_hlc", F.coalesce("closing", "first_summary").alias("summary"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.functions.exprs import complete_json
 from factloom.operators.as_known import as_known
 from factloom.operators.changes import apply_changes, latest_content
 from factloom.operators.incremental import Target, content_version, process_runs
@@ -57,11 +58,6 @@ GROUP BY r.seq, k.predicate
 """
 
 
-def complete_json(payload: Column) -> Column:
-    """Whether a payload is complete JSON."""
-    return F.try_parse_json(payload).isNotNull()
-
-
 ENTITY = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "name", "type", "scope")] + [T.StructField("aliases", T.ArrayType(T.StringType()))])
 ENTITY_PAYLOAD = T.StructType([T.StructField("entity", ENTITY), T.StructField("id", T.StringType()), T.StructField("updates", ENTITY)])
 ENTITY_FIELDS = ["name", "type", "scope", "aliases"]

@@ -82,11 +82,11 @@ def fact_summaries(spark, folder):
 
 
 @query(
-    _CTE + """SELECT id, subject_id, predicate, row_number() OVER w AS version, lead(t_valid) OVER w AS next_t_valid FROM f
+    _CTE + """SELECT id, subject_id, predicate, row_number() OVER w AS version, epoch_us(lead(t_valid) OVER w)::VARCHAR AS next_us FROM f
 WINDOW w AS (PARTITION BY subject_id, scope, predicate ORDER BY t_valid NULLS FIRST, recorded_at NULLS FIRST, id)"""
 )
 def fact_history(spark, folder):
-    return reads.history(facts(spark, folder)).select("id", "subject_id", "predicate", "version", "next_t_valid")
+    return reads.history(facts(spark, folder)).select("id", "subject_id", "predicate", "version", F.unix_micros("next_t_valid").cast("string").alias("next_us"))
 
 
 @query(_CTE + "SELECT id, predicate FROM f WHERE subject_id IN (SELECT id FROM entities WHERE type = 'tool') OR object_ref IN (SELECT id FROM entities WHERE type = 'tool')")

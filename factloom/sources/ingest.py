@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import constants as K
-from factloom.functions.exprs import content_hash, episode_ref, norm_name, strip_section, valid_at
+from factloom.functions.exprs import complete_json, content_hash, episode_ref, norm_name, strip_section, valid_at
 
 CANDIDATE = T.StructType([T.StructField(c, T.StringType()) for c in ("subject", "predicate", "object", "object_kind", "object-kind", "class", "epistemic", "scope")] + [T.StructField("confidence", T.DoubleType())])
 
@@ -19,7 +19,7 @@ CANDIDATE = T.StructType([T.StructField(c, T.StringType()) for c in ("subject",
 def json_lines(texts: DataFrame, *, id: str, text: str) -> DataFrame:
     """The candidates in replies, one JSON object a line: prose, fences and broken lines are passed over. id, place, and the candidate's fields."""
     lines = texts.select(F.col(id), F.posexplode(F.split(F.col(text), "\n")).alias("place", "line")).withColumn("line", F.trim("line")).where("line LIKE '{%'")
-    got = lines.withColumn("ok", F.try_parse_json("line").isNotNull()).where("ok").withColumn("c", F.from_json("line", CANDIDATE))
+    got = lines.where(complete_json(F.col("line"))).withColumn("c", F.from_json("line", CANDIDATE))
     kind = F.coalesce("c.object_kind", F.col("c.`object-kind`"))
     return got.select(id, "place", "c.subject", "c.predicate", "c.object", kind.alias("object_kind"), F.coalesce("c.epistemic", "c.class").alias("epistemic"), "c.confidence", "c.scope")
 
@@ -48,7 +48,7 @@ def transcript(texts: DataFrame, *, id: str, text: str) -> DataFrame:
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != "")
     message = "struct<role:string,content:string,message:struct<role:string,content:string>>"
     parsed = F.transform(lines, lambda x: F.from_json(x, message))
-    all_json = (F.size(lines) > 0) & F.forall(lines, lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull())
+    all_json = (F.size(lines) > 0) & F.forall(lines, lambda x: x.startswith("{") & complete_json(x))
     turn = lambda m: F.concat(F.coalesce(m["message"]["role"], m["role"]), F.lit(": "), F.coalesce(m["message"]["content"], m["content"]))
     flat = F.array_join(F.filter(F.transform(parsed, turn), lambda x: x.isNotNull()), "\n\n")
     return texts.select(id, F.when(all_json, flat).otherwise(F.col(text)).alias("transcript"), F.coalesce(all_json, F.lit(False)).alias("flattened"))
