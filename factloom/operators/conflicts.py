@@ -76,13 +76,14 @@ def candidates(live: DataFrame, registry: DataFrame, links: DataFrame | None = N
     if links is not None:
         known = links.select("fact_id", "candidate_id").unionByName(links.select(F.col("candidate_id").alias("fact_id"), F.col("fact_id").alias("candidate_id")))
         each = each.join(known, ["fact_id", "candidate_id"], "left_anti")
-    return each
+    return each.select("fact_id", "candidate_id", "reason")
 
 
 def open_conflicts(facts: DataFrame, links: DataFrame, now: Column) -> DataFrame:
     """Links whose two facts are both valid: ``fact_id``, ``candidate_id``."""
     ids = facts.where(valid_at(now)).select("id").dropDuplicates()
-    return links.select("fact_id", "candidate_id").dropDuplicates().join(ids.select(F.col("id").alias("fact_id")), "fact_id", "left_semi").join(ids.select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi")
+    both = links.select("fact_id", "candidate_id").dropDuplicates().join(ids.select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
+    return both.join(ids.select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi").select("fact_id", "candidate_id")
 
 
 def undisputed(live: DataFrame, links: DataFrame) -> DataFrame:

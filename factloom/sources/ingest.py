@@ -175,8 +175,8 @@ def stale_facts(hydrated: DataFrame, produced: DataFrame, now: Column, scopes: t
 
 
 def dump(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """A store as tagged JSON lines: ``type`` and ``json``, kinds in the order given."""
-    rows = [df.select(F.lit(kind).alias("type"), F.to_json(F.struct(F.lit(kind).alias("type"), *df.columns)).alias("json")) for kind, df in tables.items()]
+    """A store as JSON lines: ``type`` and ``json``, kinds in the order given. A line names its kind as ``record``, since entities have a type of their own."""
+    rows = [df.select(F.lit(kind).alias("type"), F.to_json(F.struct(F.lit(kind).alias("record"), *df.columns)).alias("json")) for kind, df in tables.items()]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -185,7 +185,7 @@ def dump(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
 
 def load(lines: DataFrame, kind: str, schema: T.StructType) -> DataFrame:
     """The rows of one kind in a dump (column ``json``)."""
-    return lines.where(F.get_json_object("json", "$.type") == kind).select(F.from_json("json", schema).alias("r")).select("r.*")
+    return lines.where(F.get_json_object("json", "$.record") == kind).select(F.from_json("json", schema).alias("r")).select("r.*")
 
 
 def remint(entities: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
