@@ -15,12 +15,19 @@ from pyspark.sql import types as T
 
 from factloom.functions import constants as K
 from factloom.functions.exprs import at, effective_confidence, norm_name, valid_at
+from factloom.functions.registry import seed
 from factloom.operators import conflicts, decide, graph, oplog, reads, reports, resolve, retrieval
 from factloom.plans.layout import cut
 from factloom.sources import ingest
 from factloom.sources.tables import table
 
 LINK = T.StructType([T.StructField("fact_id", T.StringType()), T.StructField("candidate_id", T.StringType())])
+ENTITIES = "id string, name string, type string, scope string, aliases array<string>, norm_name string"
+FACTS = (
+    "id string, subject_id string, predicate string, object_kind string, object_ref string, object_lit string, t_valid timestamp, t_invalid timestamp, recorded_at timestamp, last_reinforced_at timestamp, "
+    "confidence double, epistemic string, scope string, source_type string, episode string, invalidation_reason string"
+)
+EPISODES = "id string, source_type string, ref string, summary string, opened_at timestamp, closed_at timestamp, evidence string"
 TABLES = ("entities", "facts", "episodes", "predicates", "links")
 
 
@@ -45,6 +52,12 @@ class KnowledgeGraph:
         has = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         return cls(spark, links=table(spark, folder, "links") if has else spark.createDataFrame([], LINK), **tables)
 
+    @classmethod
+    def init(cls, spark: SparkSession) -> KnowledgeGraph:
+        """An empty store with the core predicates."""
+        none = lambda ddl: spark.createDataFrame([], ddl)
+        return cls(spark, none(ENTITIES), none(FACTS), none(EPISODES), seed(spark), none(LINK))
+
     def save(self, folder: str) -> None:
         """Write all tables to a new folder."""
         for n in TABLES:
@@ -122,6 +135,7 @@ class KnowledgeGraph:
         })
         return replace(
             self, facts=cut(facts.select(self.facts.columns).unionByName(made.select(self.facts.columns))), links=cut(self.links.unionByName(b.links).dropDuplicates()),
+            predicates=cut(self.predicates.unionByName(resolve.registrations(made, self.predicates))),
             entities=cut(self.entities.unionByName(b.minted.select(*(c for c in b.minted.columns if c in self.entities.columns)), allowMissingColumns=True)),
         ), b.decisions
 
@@ -176,8 +190,8 @@ class KnowledgeGraph:
             raise StoreError(f"merge-self: {old}")
         gone = self.entities.where(F.col("id") == a).select(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).first().n
         moved = resolve.repoint(reads.distinct_facts(self.facts), self.spark.createDataFrame([(a, b)], "old string, new string"))
-        touched = moved.where("touched")
-        twice = conflicts.collapse_plan(moved.drop("touched"), at(now)).join(touched.select(F.col("subject_id").alias("s")).dropDuplicates(), F.lit(True), "left_semi").select("id", F.lit(True).alias("__twice"))
+        about = moved.where((F.col("subject_id") == b) | (F.col("object_ref") == b))
+        twice = conflicts.collapse_plan(about, at(now)).select("id", F.lit(True).alias("__twice"))
         facts = moved.join(twice, "id", "left").withColumns({"t_invalid": F.when(F.col("__twice"), at(now)).otherwise(F.col("t_invalid")), "invalidation_reason": F.when(F.col("__twice"), F.lit("duplicate after merge")).otherwise(F.col("invalidation_reason"))})
         kept = replace(self, entities=self._renamed(b, F.col("name"), F.array(*map(F.lit, gone))).where(F.col("id") != a))
         return replace(kept, facts=facts.select(self.facts.columns))

@@ -45,7 +45,7 @@ class Target:
     def _entry(self, n: int) -> dict:
         stream = self._fs.open(self._at("_log", f"{n:012d}.json"))
         try:
-            return json.loads(self._hadoop.io.IOUtils and self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 

@@ -117,6 +117,13 @@ def resolve_predicates(typed: DataFrame, registry: DataFrame) -> DataFrame:
     return j.select("predicate", F.coalesce("id", "full").alias("id"), "status", verdict.alias("verdict"), "replaced_by")
 
 
+def registrations(used: DataFrame, registry: DataFrame) -> DataFrame:
+    """Registry rows for ``x/`` predicates in use (column ``predicate``) that have none: on trial, of either object kind, many-valued."""
+    new = used.where(F.col("predicate").startswith("x/")).select(F.col("predicate").alias("id")).dropDuplicates().join(registry.select("id"), "id", "left_anti")
+    fixed = {"label": F.regexp_replace(short_name(F.col("id")), "-", " "), "object_kind": F.lit("either"), "cardinality": F.lit("many"), "status": F.lit("testing"), "default_epistemic": F.lit("observation")}
+    return new.select(*(F.col("id") if f.name == "id" else fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in registry.schema))
+
+
 def did_you_mean(unknown: DataFrame, registry: DataFrame, *, distance: int = K.DID_YOU_MEAN_DISTANCE, top: int = K.DID_YOU_MEAN_TOP) -> DataFrame:
     """For each distinct unknown predicate the nearest registered names: predicate, suggestion, distance, place. The registry is a small fixed table."""
     from pyspark.sql.window import Window as W

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import constants as K
-from factloom.functions.exprs import complete_json, content_hash, episode_ref, norm_name, strip_section, valid_at
+from factloom.functions.exprs import complete_json, content_hash, episode_ref, norm_name, parse_instant, strip_section, valid_at
 
 CANDIDATE = T.StructType([T.StructField(c, T.StringType()) for c in ("subject", "predicate", "object", "object_kind", "object-kind", "class", "epistemic", "scope")] + [T.StructField("confidence", T.DoubleType())])
 
@@ -54,6 +54,35 @@ def transcript(texts: DataFrame, *, id: str, text: str) -> DataFrame:
     return texts.select(id, F.when(all_json, flat).otherwise(F.col(text)).alias("transcript"), F.coalesce(all_json, F.lit(False)).alias("flattened"))
 
 
+def text_files(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
+    """The files below a folder whose names match, each whole: ``path``, ``content``."""
+    read = spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    return read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
+def assertions(spark: SparkSession, path: str) -> DataFrame:
+    """A file or folder of JSON lines as assertions, in order: snake or kebab keys, ``class`` for epistemic, valid-from and valid-until for the interval.
+
+    An explicit epistemic wins over a class; broken lines are passed over; ``seq`` follows the order of files and lines.
+    """
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", r'"([A-Za-z]+)-([A-Za-z]+)"\s*:', r'"$1_$2":').alias("line")).where(complete_json(F.col("line")))
+    names = ("subject", "subject_type", "predicate", "object", "object_type", "object_kind", "epistemic", "class", "scope", "source_type", "on_conflict", "valid_from", "valid_until", "t_valid", "t_invalid", "episode")
+    read = lines.withColumn("r", F.from_json("line", T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("confidence", T.DoubleType())])))
+    r = lambda c: F.col(f"r.{c}")
+    plain = [r(c).alias(c) for c in ("subject", "subject_type", "predicate", "object", "object_type", "object_kind", "scope", "confidence", "source_type", "on_conflict", "episode")]
+    return read.where("r IS NOT NULL").select("seq", *plain, F.coalesce(r("epistemic"), r("class")).alias("epistemic"), parse_instant(F.coalesce(r("t_valid"), r("valid_from"))).alias("t_valid"), parse_instant(F.coalesce(r("t_invalid"), r("valid_until"))).alias("t_invalid"))
+
+
+def splice_section(text: Column, section: Column, begin: str, end: str) -> Column:
+    """A text with its managed section replaced, or added at the end; the rest stays as it is."""
+    block = F.concat(F.lit(begin), section, F.lit(end))
+    start = F.locate(begin, text)
+    close = F.locate(end, text, 1)
+    head = F.substring(text, F.lit(1), start - 1)
+    tail = F.when(close > start, F.substring(text, close + len(end), F.length(text))).otherwise(F.lit(""))
+    return F.when(start > 0, F.concat(head, block, tail)).otherwise(F.concat(text, block))
+
+
 def notes(files: DataFrame, *, begin: str, end: str) -> DataFrame:
     """Note files (path, content) without their managed section, trimmed, blank ones left out, with ``hash``, the first 12 digits of SHA-256."""
     body = F.regexp_replace(strip_section(F.col("content"), begin, end), r"^\s+|\s+$", "")

@@ -3,27 +3,19 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.graph_store import LINK, KnowledgeGraph, StoreError
-from tests.test_decide import ASSERTIONS, REGISTRY, assertion, registry, when
+from factloom.graph_store import KnowledgeGraph, StoreError
+from tests.test_decide import ASSERTIONS, assertion, when
 
-FACTS = "id string, subject_id string, predicate string, object_kind string, object_ref string, object_lit string, t_valid timestamp, t_invalid timestamp, recorded_at timestamp, last_reinforced_at timestamp, confidence double, epistemic string, scope string, source_type string, episode string, invalidation_reason string"
 NOW = "2026-07-01 00:00:00"
 
 
-def empty(spark):
-    return KnowledgeGraph(
-        spark, spark.createDataFrame([], "id string, name string, type string, scope string, aliases array<string>, norm_name string"), spark.createDataFrame([], FACTS),
-        spark.createDataFrame([], "id string, source_type string, ref string, summary string, opened_at timestamp, closed_at timestamp, evidence string"), registry(spark), spark.createDataFrame([], LINK),
-    )
-
-
 def objects(df):
     return sorted(r.object_name for r in df.collect())
 
 
 @pytest.fixture(scope="module")
 def kg(spark):
-    g = empty(spark).open_episode("ep-1", "session-log", "2026-01-02 00:00:00", "sess-1").open_episode("ep-2", "session-log", "2026-03-01 00:00:00")
+    g = KnowledgeGraph.init(spark).open_episode("ep-1", "session-log", "2026-01-02 00:00:00", "sess-1").open_episode("ep-2", "session-log", "2026-03-01 00:00:00")
     first = [
         assertion(1, "shoply", "has-version", "0.1.0", t_valid=when(4)), assertion(2, "shoply", "decided-against", "GraphQL", object_kind="literal", epistemic="commitment", source_type="session-log", confidence=0.7),
         assertion(3, "shoply.api", "depends-on", "shoply.db"), assertion(4, "shoply.auth", "prefers", "argon2 for hashing", object_kind="literal", source_type="session-log", confidence=0.6),
@@ -104,6 +96,7 @@ def test_curation(kg):
 
 
 def test_registry(kg):
+    assert kg.predicates.count() == 23 and {r.id for r in kg.predicates.where("cardinality = 'one'").collect()} == {"core/defined-in", "core/has-version", "core/has-status"}
     g = kg.register_predicate({"id": "x/owned-by", "label": "owned by", "object_kind": "either", "cardinality": "many", "status": "testing"}).promote_predicate("x/owned-by", "core/owned-by")
     rows = {r.id: (r.status, r.replaced_by, r.n) for r in g.predicate_list().collect()}
     assert rows["x/owned-by"] == ("deprecated", "core/owned-by", 0) and rows["core/owned-by"][0] == "active" and rows["core/has-version"][2] == 2
@@ -126,4 +119,3 @@ def test_episodes_context_and_round_trip(kg, spark, tmp_path):
     done.save(str(tmp_path / "kg"))
     again = KnowledgeGraph.open(spark, str(tmp_path / "kg"))
     assert {r.measure: r.n for r in again.stats().collect()} == {r.measure: r.n for r in done.stats().collect()}
-    assert REGISTRY
