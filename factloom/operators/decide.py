@@ -146,12 +146,16 @@ def prepare(assertions: DataFrame, registry: DataFrame, now: Column) -> DataFram
 SCHEMA = "seq bigint, status string, fact_id string, targets array<string>, effective_at bigint, reason string, confidence double"
 
 
+def predicate_rules(registry: DataFrame) -> tuple[set[str], dict[str, set[str]]]:
+    """The single-valued predicates, and for each predicate those it excludes. The registry is a small fixed table."""
+    table = registry.select("id", "cardinality", "exclusion_group").collect()
+    group = {r.id: r.exclusion_group for r in table if r.exclusion_group}
+    return {r.id for r in table if r.cardinality == "one"}, {p: {q for q, h in group.items() if h == g and q != p} for p, g in group.items()}
+
+
 def _fold(rows: DataFrame, registry: DataFrame, now: Column, prefix: str) -> DataFrame:
     """The decisions on rows (subject_key, group, COLUMNS), in order of seq per key; rows with a held_id are facts that stand already."""
-    table = registry.select("id", "cardinality", "exclusion_group").collect()  # the predicate registry, a small fixed table
-    single = {r.id for r in table if r.cardinality == "one"}
-    group = {r.id: r.exclusion_group for r in table if r.exclusion_group}
-    mates = {p: {q for q, h in group.items() if h == g and q != p} for p, g in group.items()}
+    single, mates = predicate_rules(registry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, subject = None, None

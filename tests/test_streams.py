@@ -42,3 +42,28 @@ def test_windows(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(r.n for r in spark.table("hours").collect()) == [3, 3, 3]
+
+
+def test_stream_decides_as_a_batch_does(spark, tmp_path):
+    from factloom.functions.exprs import at
+    from factloom.operators.decide import assert_batch
+    from factloom.streaming.decisions import decide_stream
+    from tests.test_decide import ASSERTIONS, assertion, registry
+
+    rows = [
+        assertion(1, "svc", "has-version", "1"), assertion(2, "svc", "has-version", "2"), assertion(3, "svc", "prefers", "Tabs"), assertion(4, "svc", "prefers", None), assertion(5, "SVC", "has-version", "2", confidence=0.9),
+        assertion(6, "svc", "decided-against", "tabs"), assertion(7, "svc", "has-version", "1", source_type="inferred"), assertion(8, "svc", "has-version", "3"),
+    ]
+    src = tmp_path / "in"
+    schema = spark.createDataFrame([], ASSERTIONS).schema
+    put = lambda n, part: spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(src / f"b{n}"))
+    put(1, rows[:4])
+    q = decide_stream(spark.readStream.schema(schema).parquet(str(src / "*")), registry(spark), at("2027-01-01")).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        put(2, rows[4:])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    keep = lambda df: sorted((r.seq, r.status, r.fact_id, tuple(r.targets), r.reason) for r in df.collect())
+    assert keep(spark.table("decided")) == keep(assert_batch(spark.createDataFrame(rows, schema), registry(spark), at("2027-01-01")))
