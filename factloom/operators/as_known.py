@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.plans.layout import hot_bounds, shard_of
+from factloom.plans.layout import cut, hot_bounds, shard_of
 
 OPEN = (1 << 63) - 1
 ROW = ("__eid", "__slot", "__vid", "__t", "__to", "__known", "__closing")
@@ -169,6 +169,7 @@ def as_known(
         .withColumn("__gone", F.when(F.col("__to").isNull() | F.col("__closing").isNull(), F.lit(OPEN)).otherwise(F.greatest("__to", "__closing")))
         .where("__seen < __gone")
     )
+    vs = cut(vs)  # read for the split points and for both joins with them
     bounds = hot_bounds(vs, ks, "__seen", shard_rows, grain_seconds * 1_000_000)
     ev = ev.join(bounds, ks, "left").withColumn("__shard", shard_of(F.col("bounds"), F.col("__t"))).drop("bounds")
     placed = vs.join(bounds, ks, "left").withColumn("__a", shard_of(F.col("bounds"), F.col("__seen"))).withColumn("__b", shard_of(F.col("bounds"), F.col("__gone"))).drop("bounds", "__seen", "__gone")
