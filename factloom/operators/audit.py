@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import decide, reports
+from factloom.plans.layout import cut, global_rank
 
 
 def audit(code: DataFrame, claims: DataFrame, registry: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -14,15 +15,11 @@ def audit(code: DataFrame, claims: DataFrame, registry: DataFrame, now: Column)
     Code facts are asserted first, then the claims in order of file and place (``place``). A flagged claim is a contradiction, or stale where the other side
     is code; a superseding one a disagreement; a repeated one a restatement. Findings: file, kind, fact_id, other_id, subject, predicate, object.
     """
-    first = F.lit(1 << 40)
-    order = F.xxhash64("file")
     mine = claims.withColumns({"file": F.coalesce("file", F.lit("")), "code": F.lit(False)})
-    # code keeps small numbers, claims come behind in an order that follows their files
-    both = code.withColumns({"file": F.lit(None).cast("string"), "place": F.monotonically_increasing_id(), "code": F.lit(True), "source_type": F.lit("code")}).unionByName(mine, allowMissingColumns=True)
-    both = both.withColumn("seq", F.when(F.col("code"), F.pmod(F.xxhash64("subject", "predicate", "object"), first)).otherwise(first + F.pmod(order, F.lit(1 << 30)) * 1_000_000 + F.col("place"))).dropDuplicates(["seq"])
-    from factloom.plans.layout import cut
-
-    both = cut(both)
+    # code facts once each, in front of the claims, which follow file and place; numbers are exact, so no two rows share one
+    facts = code.dropDuplicates(["subject", "predicate", "object", "object_kind"])
+    both = facts.withColumns({"file": F.lit(None).cast("string"), "place": F.lit(None).cast("bigint"), "code": F.lit(True), "source_type": F.lit("code")}).unionByName(mine, allowMissingColumns=True)
+    both = cut(global_rank(both, F.desc("code"), "file", "place", "subject", "predicate", "object").withColumnRenamed("rank", "seq"))
     done = cut(decide.assert_batch(both, registry, now))
     told = both.select("seq", "file", "code", "subject", "predicate", "object")
     of_code = told.where("code").select(F.concat(F.lit("f-"), "seq").alias("other_id"), F.lit(True).alias("other_is_code"))

@@ -45,3 +45,13 @@ def test_managed_section(spark):
     put = df.select("t", ingest.splice_section(F.col("t"), F.lit("new"), "<b>", "</e>").alias("p"))
     assert [r.p for r in put.collect()] == ["top\n<b>new</e>\nend", "plain<b>new</e>", "x<b>new</e>"]
     assert [r.s for r in put.select(strip_section(F.col("p"), "<b>", "</e>").alias("s")).collect()] == ["top\n\nend", "plain", "x"]
+
+
+def test_audit_keeps_every_claim(spark):
+    cols = "subject string, predicate string, object string, object_kind string"
+    code = spark.createDataFrame([("p.a", "core/has-version", "2", "literal")] * 2, cols)
+    # two claims of one place, and one far behind
+    rows = [("A.md", 1, "s1", "core/prefers", "tabs"), ("A.md", 1, "s2", "core/prefers", "tabs"), ("A.md", 3_000_001, "s3", "core/prefers", "tabs"), ("A.md", None, "s4", "core/prefers", "tabs"), ("A.md", None, "s5", "core/prefers", "tabs")]
+    claims = spark.createDataFrame([(*r, "literal", "agent-note") for r in rows], "file string, place bigint, " + cols + ", source_type string")
+    _, card = audit(code, claims, registry(spark), at("2027-01-01"))
+    assert {r.kind: r.n for r in card.collect()}["claim"] == 5
