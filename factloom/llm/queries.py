@@ -102,18 +102,19 @@ def _measured(spark: SparkSession, folder: str) -> DataFrame:
 
 #: A document is repetitive when at least this share of its words is repeated.
 REPETITIVE = 0.2
+DEFAULT = {"words": REPETITIVE}
 STRATUM = ["lang"]
 
 
 def _cutoffs(measured: DataFrame) -> DataFrame:
     labelled = repetition.holdout(measured, id="doc_id", stratum=STRATUM, bad=F.col("words") >= REPETITIVE)
-    return repetition.choose_cutoffs(labelled, stratum=STRATUM, bad="bad", grid=(0.2, 0.15, 0.1, 0.05, 0.02), default={"words": REPETITIVE})
+    return repetition.choose_cutoffs(labelled, stratum=STRATUM, bad="bad", grid=(0.2, 0.15, 0.1, 0.05, 0.02), default=DEFAULT)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of which at least a fifth of the words is repeated: those some cutoff rejects, checked against the definition."""
     measured = _measured(spark, folder)
-    return repetition.reject(measured, _cutoffs(measured), STRATUM).where("size(rejected_by) > 0").where(F.col("words") >= REPETITIVE).select("doc_id")
+    return repetition.reject(measured, _cutoffs(measured), STRATUM, DEFAULT).where("size(rejected_by) > 0").where(F.col("words") >= REPETITIVE).select("doc_id")
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
