@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.plans.layout import cut, hot_bounds, shard_of
+from factloom.plans.layout import cut, grain_of, time_bounds, time_shards
+from factloom.plans.shipping import ship
 
 OPEN = (1 << 63) - 1
 ROW = ("__eid", "__slot", "__vid", "__t", "__to", "__known", "__closing")
@@ -71,8 +72,8 @@ class VersionTree:
             half <<= 1
         return new
 
-    def find(self, known_at: int, valid_at: int):
-        """The id of the version with the latest key among those valid at ``valid_at`` as known at ``known_at``, or None."""
+    def find(self, known_at: int, valid_at: int) -> tuple | None:
+        """The version with the latest key among those valid at ``valid_at`` as known at ``known_at``, or None."""
         i = bisect_right(self.times, known_at)
         most = bisect_right(self.starts, valid_at)
         if not i or not most:
@@ -84,22 +85,23 @@ class VersionTree:
             if low >= most or ends[node] <= valid_at:
                 continue
             if width == 1:
-                return self.versions[low][2]
+                return self.versions[low]
             half = width >> 1
             stack.append((left[node], low, half))
             stack.append((right[node], low + half, half))  # the later half first
         return None
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group, versions before events; only one shard's versions are held at a time."""
+def _answer(named: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group, versions before events; only one shard's versions are held at a time. Gives the columns ``named`` of each hit."""
     group, held, trees = None, {}, {}
     for batch in batches:
-        out: tuple[list, list, list] = ([], [], [])
+        at: list[int] = []
+        got: list[tuple] = []
         names = batch.schema.names
         column = {c: batch.column(i).to_pylist() for i, c in enumerate(names) if c in ("__event", *ROW)}
         groups = zip(*(batch.column(i).to_pylist() for i, c in enumerate(names) if c not in column), strict=True)
-        for g, event, eid, slot, vid, t, to, known, closing in zip(groups, column["__event"], *(column[c] for c in ROW), strict=True):
+        for n, (g, event, slot, vid, t, to, known, closing) in enumerate(zip(groups, column["__event"], *(column[c] for c in ROW[1:]), strict=True)):
             if g != group:
                 group, held, trees = g, {}, {}
             if not event:
@@ -109,10 +111,14 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 trees, held = {s: VersionTree(v) for s, v in held.items()}, {}
             for s, tree in trees.items():
                 if (found := tree.find(t, t)) is not None:
-                    for to_, x in zip(out, (eid, s, found), strict=True):
-                        to_.append(x)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field(c).type) for x, c in zip(out, ROW[:3], strict=True)], names=list(ROW[:3]))
+                    at.append(n)
+                    got.append((s, *found[:3]))
+        if at:
+            slots, starts, knowns, ids = zip(*got, strict=True)
+            rows = batch.take(pa.array(at))
+            new = {"__slot": slots, "__vid": ids, "__from": starts, "__since": knowns}
+            kinds = {"__slot": batch.schema.field("__slot").type, "__vid": batch.schema.field("__vid").type}
+            yield pa.RecordBatch.from_arrays([pa.array(new[c], kinds.get(c, pa.int64())) if c in new else rows.column(names.index(c)) for c in named], names=list(named))
 
 
 def _blocks(first: str, last: str) -> F.Column:
@@ -154,7 +160,9 @@ def as_known(
     Skew: a key with more than ``shard_rows`` versions is cut into shards of time. A version goes to the shards where it becomes visible
     and where it ends; for the shards between, only the best version that stays visible throughout can win, and it is found
     by a max-aggregate over dyadic blocks of shards, so no version is copied to every shard. A shard with more than ``task_events``
-    events is read by several tasks, each with its own copy of that one shard's versions.
+    events is read by several tasks, each with its own copy of that one shard's versions; a burst of versions that no instant parts is dealt
+    to several tasks too, each answers the shard's events from its part, and the best answer of an event counts. Without such keys, which one
+    count tells, none of this is planned.
     """
     ks = [f"__k{i}" for i in range(len(keys))]
     sch_e, sch_v = events.schema, versions.schema
@@ -169,15 +177,50 @@ def as_known(
         .withColumn("__gone", F.when(F.col("__to").isNull() | F.col("__closing").isNull(), F.lit(OPEN)).otherwise(F.greatest("__to", "__closing")))
         .where("__seen < __gone")
     )
-    vs = cut(vs)  # read for the split points and for both joins with them
-    bounds = hot_bounds(vs, ks, "__seen", shard_rows, grain_seconds * 1_000_000)
-    ev = ev.join(bounds, ks, "left").withColumn("__shard", shard_of(F.col("bounds"), F.col("__t"))).drop("bounds")
-    placed = vs.join(bounds, ks, "left").withColumn("__a", shard_of(F.col("bounds"), F.col("__seen"))).withColumn("__b", shard_of(F.col("bounds"), F.col("__gone"))).drop("bounds", "__seen", "__gone")
+    vs = cut(vs)  # read for the counts and for the answers
+    sides = vs.select(*ks, F.lit(1).alias("__v"), F.lit(0).alias("__e")).unionByName(ev.select(*ks, F.lit(0).alias("__v"), F.lit(1).alias("__e")))
+    hot = cut(sides.groupBy(*ks).agg(F.sum("__v").alias("__v"), F.sum("__e").alias("__e")).where((F.col("__v") > shard_rows) | (F.col("__e") > task_events)))
+    row, at = ROW[1:], [*ks, "__shard", "__part", "__salt"]
+    zero = {c: F.lit(0).cast("bigint") for c in at[len(ks) :]}
+    parted = False
+    if hot.isEmpty():
+        tree_rows, ev = vs.withColumns(zero), ev.withColumns(zero)
+    else:
+        cold = lambda df: df.join(hot, ks, "left_anti").withColumns(zero)
+        hot_rows, hot_ev, deals = _in_shards(vs.join(hot, ks, "left_semi"), ev.join(hot, ks, "left_semi"), hot.select(*ks), ks, shard_rows, task_events, grain_seconds * 1_000_000)
+        tree_rows, ev = cold(vs).select(*at, *row).unionByName(hot_rows.select(*at, *row)), cold(ev).select(*at, "__eid", "__t").unionByName(hot_ev.select(*at, "__eid", "__t"))
+        parted = not deals.where("__parts > 1").isEmpty()
+    eid, vid, kind = sch_e[event_id].dataType, sch_v[version_id].dataType, sch_v[slot].dataType
+    none = lambda t: F.lit(None).cast(t)
+    both = tree_rows.select(*at, F.lit(False).alias("__event"), none(eid).alias("__eid"), *row).unionByName(
+        ev.select(*at, F.lit(True).alias("__event"), "__eid", none(kind).alias("__slot"), none(vid).alias("__vid"), "__t", *(none("bigint").alias(c) for c in row[3:]))
+    )
+    ship(events.sparkSession)
+    types = {"__eid": eid, "__slot": kind, "__vid": vid} | {k: both.schema[k].dataType for k in ks}
+    named = (*ks, "__t", *ROW[:3], "__from", "__since") if parted else ROW[:3]
+    schema = T.StructType([T.StructField(c, types.get(c, T.LongType())) for c in named])
+    found = both.repartition(*at).sortWithinPartitions(*at, "__event").mapInArrow(lambda b: _answer(named, b), schema)
+    if parted:
+        found = found.groupBy(*ks, "__t", "__eid", "__slot").agg(F.max(F.struct("__from", "__since", "__vid")).alias("__best")).select("__eid", "__slot", "__best.__vid")
+    return found.select(F.col("__eid").alias(event_id), F.col("__slot").alias(slot), F.col("__vid").alias(version_id))
+
+
+def _in_shards(vs: DataFrame, ev: DataFrame, hot: DataFrame, ks: list[str], shard_rows: int, task_events: int, grain: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Versions and events of hot keys with their ``__shard``, ``__part`` (of its versions) and ``__salt`` (of its events); and the dealing, a row per shard."""
     row = ROW[1:]
-    home = placed.withColumn("__shard", F.explode(F.array_distinct(F.array("__a", "__b")))).select(*ks, "__shard", *row)
+    shards = cut(time_shards(vs, hot, ks, "__seen", shard_rows, grain))
+    bounds = cut(time_bounds(shards, ks))
+
+    def placed(df: DataFrame, instant: str, into: str) -> DataFrame:
+        return df.withColumn("__g", grain_of(F.col(instant), grain)).join(shards.withColumnRenamed("__shard", into), [*ks, "__g"]).drop("__g")
+
+    # a key without versions has no bounds, and its events no answer
+    ev = placed(ev.join(bounds, ks), "__t", "__shard").drop("__low", "__high")
+    spans = cut(placed(placed(vs.join(bounds, ks), "__seen", "__a"), "__gone", "__b").select(*ks, "__a", "__b", *row))
+    home = spans.withColumn("__shard", F.explode(F.array_distinct(F.array("__a", "__b")))).select(*ks, "__shard", *row)
     best = F.max(F.struct("__t", "__known", "__vid", "__to", "__closing")).alias("__best")
     spanning = (
-        placed.where("__b - __a > 1")
+        spans.where("__b - __a > 1")
         .withColumn("__block", F.explode(_blocks("(__a + 1)", "(__b - 1)")))
         .groupBy(*ks, "__slot", "__block")
         .agg(best)
@@ -187,19 +230,13 @@ def as_known(
         .select(*ks, "__shard", "__slot", *(F.col(f"__best.{c}") for c in row[1:]))
     )
     tree_rows = home.unionByName(spanning)
-    busy = ev.groupBy(*ks, "__shard").agg(F.ceil(F.count(F.lit(1)) / task_events).cast("int").alias("__n")).where("__n > 1")
-    ev = ev.join(busy, [*ks, "__shard"], "left").withColumn("__salt", F.coalesce(F.expr("pmod(xxhash64(__eid), __n)").cast("int"), F.lit(0))).drop("__n")
-    tree_rows = tree_rows.join(busy, [*ks, "__shard"], "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__n"), F.lit(1)) - 1))).drop("__n")
-    at = [*ks, "__shard", "__salt"]
-    eid, vid, kind = sch_e[event_id].dataType, sch_v[version_id].dataType, sch_v[slot].dataType
-    none = lambda t: F.lit(None).cast(t)
-    both = tree_rows.select(*at, F.lit(False).alias("__event"), none(eid).alias("__eid"), *row).unionByName(
-        ev.select(*at, F.lit(True).alias("__event"), "__eid", none(kind).alias("__slot"), none(vid).alias("__vid"), "__t", *(none("bigint").alias(c) for c in row[3:]))
-    )
-    schema = T.StructType([T.StructField("__eid", eid), T.StructField("__slot", kind), T.StructField("__vid", vid)])
-    found = (
-        both.repartition(*at)
-        .sortWithinPartitions(*at, "__event")
-        .mapInArrow(_answer, schema)
-    )
-    return found.select(F.col("__eid").alias(event_id), F.col("__slot").alias(slot), F.col("__vid").alias(version_id))
+    size = home.select(*ks, "__shard", F.lit(1).alias("__v"), F.lit(0).alias("__e")).unionByName(ev.select(*ks, "__shard", F.lit(0).alias("__v"), F.lit(1).alias("__e")))
+    share = lambda c, most: F.greatest(F.lit(1), F.ceil(F.sum(c) / most)).cast("bigint")
+    # a shard holds the versions that begin in it and those that end in it; far more than that is a burst at one instant
+    deals = cut(size.groupBy(*ks, "__shard").agg(share("__v", 4 * shard_rows).alias("__parts"), share("__e", task_events).alias("__salts")))
+    of = [*ks, "__shard"]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    deal = lambda c, n: F.expr(f"pmod(xxhash64({c}), {n})")
+    tree_rows = tree_rows.join(deals, of).withColumn("__part", deal("__vid", "__parts")).withColumn("__salt", every("__salts"))
+    ev = ev.join(deals, of).withColumn("__salt", deal("__eid", "__salts")).withColumn("__part", every("__parts"))
+    return tree_rows, ev, deals

@@ -77,18 +77,40 @@ def test_learnt_later_is_never_seen(spark):
 
 def test_roots_keep_older_states():
     tree = VersionTree([(0, 0, "a", 10, 20), (5, 6, "b", None, None)])
-    assert tree.find(4, 4) == "a"
-    assert tree.find(6, 12) == "b"
-    assert tree.find(6, 3) == "a" and tree.find(25, 3) == "a"
-    assert tree.find(5, 15) == "a" and tree.find(25, 4) == "a"
+    find = lambda known, valid: tree.find(known, valid)[2]
+    assert find(4, 4) == "a"
+    assert find(6, 12) == "b"
+    assert find(6, 3) == "a" and find(25, 3) == "a"
+    assert find(5, 15) == "a" and find(25, 4) == "a"
     assert tree.find(-1, 3) is None and VersionTree([]).find(OPEN - 1, 3) is None
 
 
 def test_hot_key_is_cut_into_shards(spark):
     events, versions = random_case(9, 800, keys="a")
     assert run(spark, events, versions, shard_rows=20) == brute(events, versions)
-    from factloom.plans.layout import hot_bounds
+    from factloom.plans.layout import time_shards
 
     vs = spark.createDataFrame(versions, VERSIONS).where("vf IS NOT NULL").select("k", F.unix_micros("vf").alias("at"))
-    bounds = hot_bounds(vs, ["k"], "at", 20, 3_600_000_000).collect()
-    assert len(bounds) == 1 and len(bounds[0].bounds) > 20
+    shards = time_shards(vs, vs.select("k").distinct(), ["k"], "at", 20, 3_600_000_000).collect()
+    assert len({x["__shard"] for x in shards}) > 20
+    by_grain = [x["__shard"] for x in sorted(shards, key=lambda x: x["__g"])]
+    assert by_grain == sorted(by_grain) and len({x["__g"] for x in shards}) == len(shards)
+
+
+def test_a_burst_at_one_instant_is_dealt_to_several_tasks(spark):
+    # 10^5 versions of one key, recorded in one instant, that end at different times
+    rows = spark.range(100_000).selectExpr(
+        "'a' AS k", "'x' AS slot", "concat('v', lpad(id, 6, '0')) AS v", "timestamp_seconds(1000000 + id % 50) AS vf", "timestamp_seconds(3000000 + id % 977 * 3600) AS vt", "timestamp_seconds(2000000) AS kf", "timestamp_seconds(2000000) AS ck"
+    )
+    events = spark.range(2000).selectExpr("id AS e", "'a' AS k", "timestamp_seconds(1999000 + id * 2000) AS at")
+    got = {(r.e, r.v) for r in as_known(events, rows, **KEYS, shard_rows=2000, task_events=500).collect()}
+    by_end = {}
+    for i in range(100_000):
+        end = 3_000_000 + i % 977 * 3600
+        by_end[end] = max(by_end.get(end, (0, "")), (i % 50, f"v{i:06d}"))
+    true = set()
+    for e in range(2000):
+        t = 1_999_000 + e * 2000
+        if t >= 2_000_000 and (open_ := [b for end, b in by_end.items() if end > t]):
+            true.add((e, max(open_)[1]))
+    assert got == true
