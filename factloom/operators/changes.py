@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from factloom.plans.layout import hot_bounds, shard_of
+from factloom.plans.layout import cut
 
 
 def latest_content(feed: DataFrame, *, keys: list[str], content: list[str], landed: str) -> DataFrame:
@@ -19,6 +19,24 @@ def latest_content(feed: DataFrame, *, keys: list[str], content: list[str], land
     return feed.dropna(subset=[*keys, landed]).groupBy(*keys).agg(best.alias("__c")).select(*keys, *(F.col(f"__c.{c}").alias(c) for c in content))
 
 
+def _chunked(ch: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Changes with ``__chunk``, and the keys that have several chunks, or None where no key has.
+
+    The changes of keys with more than ``chunk_rows`` are range-partitioned by key and order, and a partition is a chunk: any number of changes at one
+    instant are parted like others, as the order goes on with writer and seq.
+    """
+    hot = cut(ch.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > chunk_rows))
+    whole = F.lit(0).alias("__chunk")
+    rows = hot.agg(F.sum("__n")).first()[0]
+    if not rows:
+        return ch.select("*", whole), None
+    keys = hot.select("__key")
+    parts = ch.join(keys, "__key", "left_semi").repartitionByRange(-(-rows // chunk_rows), "__key", "__o")
+    # written, so that a task that is run again can't deal the chunks otherwise
+    dealt = cut(parts.withColumn("__chunk", F.spark_partition_id()))
+    return ch.join(keys, "__key", "left_anti").select("*", whole).unionByName(dealt), keys
+
+
 def apply_changes(
     changes: DataFrame,
     *,
@@ -31,70 +49,75 @@ def apply_changes(
     base: DataFrame | None = None,
     fields: list[str] | None = None,
     chunk_rows: int = 200_000,
-    grain: int = 3_600_000,
 ) -> DataFrame:
     """The rows that exist after all changes: ``key``, the ``order`` columns of the change that made the row, then ``fields``.
 
-    Changes apply by ``order`` (its first column a BIGINT instant, ``grain`` its step): ``creates`` makes an absent row and leaves an
-    existing one as it is, ``updates`` changes an existing row only, ``deletes`` removes it. Every change that has an effect
-    contributes -1 of the row image before it and +1 of the image after it; ``base`` contributes +1 of its images; multiplicities are
-    summed and images with a positive sum are the current rows. An image is named by the change that made it (nulls: ``base``).
-    ``fields`` of an image are, per field, the last non-null value since the row was created.
+    Changes apply by ``order``: ``creates`` makes an absent row and leaves an existing one as it is, ``updates`` changes an existing row only,
+    ``deletes`` removes it. Every change that has an effect contributes -1 of the row image before it and +1 of the image after it; ``base``
+    contributes +1 of its images; multiplicities are summed and images with a positive sum are the current rows. An image is the
+    order of the change that made it (nulls: ``base``) and the values of ``fields``: of each the last non-null one since the row was created.
 
-    Defined cases: changes with a null key or order, or another ``op``, have no effect; whole repeated changes count once, while two
-    different changes of equal order apply by op name; an empty feed leaves the base; other columns are ignored.
+    Defined cases: changes with a null key or order, or another ``op``, have no effect; a repeated change counts once, as its images
+    cancel out, while different changes of equal order apply by op name; an empty feed leaves the base; of several base rows of a key the greatest
+    counts; other columns are ignored.
 
-    Skew: a key with more than ``chunk_rows`` changes is cut into chunks of time. Whether the row exists at a chunk's start, and which
-    image it then is, follows from one summary row for each earlier chunk, so no task sorts a whole hot key.
+    Skew: a key with more than ``chunk_rows`` changes is cut into chunks of its order. Whether the row exists at a chunk's start, and which
+    image it then is, follows from one summary row for each earlier chunk, so no task sorts a whole hot key. Everything else is one
+    shuffle by key: existence, images and their sum follow the same partitioning and sort.
     """
     fields = fields or []
-    o = F.col("__o")
+    o, op_ = F.col("__o"), F.col("__op")
+    values = [f"__f{i}" for i in range(len(fields))]
     ch = (
-        changes.select(F.col(key).alias("__key"), F.col(op).alias("__op"), F.struct(*order, F.col(op).alias("__op")).alias("__o"), F.struct(*(F.col(f) for f in fields), F.lit(0).alias("__")).alias("__f"), F.col(order[0]).alias("__t"))
-        .where(F.col("__op").isin(creates, updates, deletes) & F.col("__key").isNotNull())
+        changes.select(F.col(key).alias("__key"), F.col(op).alias("__op"), F.struct(*order, F.col(op).alias("__op")).alias("__o"), *(F.col(f).alias(v) for f, v in zip(fields, values, strict=True)))
+        .where(op_.isin(creates, updates, deletes) & F.col("__key").isNotNull())
         .where(" AND ".join(f"__o.`{c}` IS NOT NULL" for c in order))
-        .dropDuplicates(["__key", "__o"])
     )
-    bounds = hot_bounds(ch, ["__key"], "__t", chunk_rows, grain)
-    ch = ch.join(bounds, "__key", "left").withColumn("__chunk", shard_of(F.col("bounds"), F.col("__t"))).drop("bounds", "__t")
+    if base is not None:
+        held = base.select(F.col(key).alias("__key"), F.struct(*(F.col(f).alias(v) for f, v in zip(fields, values, strict=True)), F.lit(0).alias("__")).alias("__b")).dropna(subset=["__key"])
+        held = held.groupBy("__key").agg(F.max("__b").alias("__b"))
+    ch = cut(ch)  # read for the hot keys and for the images
+    ch, hot = _chunked(ch, chunk_rows)
     part = ["__key", "__chunk"]
-    ahead = W.partitionBy(*part).orderBy("__o").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*part).orderBy("__o")
+    ahead = w.rowsBetween(W.unboundedPreceding, -1)
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     chunks = W.partitionBy("__key").orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    last = lambda c, over: F.last(c, ignorenulls=True).over(over)
 
     # creates leaves a row in any case, deletes none, updates changes nothing about existence
-    mark = F.when(F.col("__op") == creates, 1).when(F.col("__op") == deletes, 0)
-    carried = ch.groupBy(*part).agg(F.max_by(mark, F.when(mark.isNotNull(), o)).alias("__m")).withColumn("__in", F.last("__m", ignorenulls=True).over(chunks)).drop("__m")
-    rows = ch.withColumn("__before", F.last(mark, ignorenulls=True).over(ahead)).join(carried, part)
-    if base is None:
-        based = F.lit(0)
-    else:
-        held = base.select(F.col(key).alias("__key"), F.struct(*(F.col(f) for f in fields), F.lit(0).alias("__")).alias("__f")).dropna(subset=["__key"])
-        held = held.groupBy("__key").agg(F.max("__f").alias("__base"))
-        rows = rows.join(held, "__key", "left")
-        based = F.col("__base").isNotNull().cast("int")
-    existed = F.coalesce("__before", "__in", based) == 1
-    acts = rows.where(F.when(F.col("__op") == creates, ~existed).otherwise(existed))
-
-    # the image before a change is the one that the last effective change before it made
-    ends = acts.groupBy(*part).agg(F.max("__o").alias("__last")).withColumn("__in", F.last("__last").over(chunks)).drop("__last")
-    acts = acts.drop("__before", "__in").withColumn("__before", F.last("__o").over(ahead)).join(ends, part)
-    old = F.coalesce("__before", "__in")
-    image = lambda sign, x: F.struct(F.lit(sign).alias("sign"), x.alias("image"))
-    after = F.when(F.col("__op") != deletes, image(1, o))
-    before = F.when(F.col("__op") != creates, image(-1, old))
-    signed = acts.select("__key", F.explode(F.array_compact(F.array(after, before))).alias("__s")).select("__key", "__s.*")
-    if base is not None:
-        signed = signed.unionByName(held.select("__key", F.lit(1).alias("sign"), F.lit(None).cast(acts.schema["__o"].dataType).alias("image")))
-    now = signed.groupBy("__key", "image").agg(F.sum("sign").alias("__n")).where("__n > 0").drop("__n")
-    result = now.select(F.col("__key").alias(key), *(F.col(f"image.{c}").alias(c) for c in order))
-    if not fields:
-        return result
-    made = acts.where(F.col("__op") == creates).groupBy("__key").agg(F.max("__o").alias("__made"))
-    since = acts.join(made, "__key", "left").where((F.col("__op") != deletes) & (F.col("__made").isNull() | (o >= F.col("__made"))))
-    last = since.groupBy("__key").agg(F.max("__made").alias("__made"), *(F.max_by(F.col(f"__f.{f}"), F.when(F.col(f"__f.{f}").isNotNull(), o)).alias(f"__v_{f}") for f in fields))
-    full = now.join(last, "__key", "left")
-    value = lambda f: F.col(f"__v_{f}")
+    mark = F.when(op_ == creates, 1).when(op_ == deletes, 0)
+    rows = ch if base is None else ch.join(held, "__key", "left")
+    based = F.lit(0) if base is None else F.col("__b").isNotNull().cast("int")
+    if hot is not None:
+        of_hot = ch.join(hot, "__key", "left_semi").groupBy(*part).agg(F.max_by(mark, F.when(mark.isNotNull(), o)).alias("__m"))
+        rows = rows.join(of_hot.withColumn("__in", last("__m", chunks)).drop("__m"), part, "left")
+        based = F.coalesce("__in", based)
+    acts = rows.withColumn("__existed", F.coalesce(last(mark, ahead), based) == 1).where(F.when(op_ == creates, ~F.col("__existed")).otherwise(F.col("__existed")))
+
+    # of each field the last value in the chunk, and what made the row if that was in the chunk; values from before that don't count
+    dated = lambda v: F.when(F.col(v).isNotNull() & (op_ != deletes), F.struct(o.alias("o"), F.col(v).alias("v")))
+    acts = acts.withColumns({"__made": last(F.when(op_ == creates, o), upto), **{f"__l{v}": last(dated(v), upto) for v in values}})
+    fresh = lambda v: F.when(F.col("__made").isNull() | (F.col(f"__l{v}.o") >= F.col("__made")), F.col(f"__l{v}.v"))
+    carried = {v: F.lit(None) if base is None else F.col(f"__b.{v}") for v in values}  # at the chunk's start
+    carried_o = F.lit(None).cast(acts.schema["__o"].dataType)
+    if hot is not None:
+        ends = acts.join(hot, "__key", "left_semi").groupBy(*part).agg(F.max_by(F.struct("__op", "__o", "__made", *(fresh(v).alias(v) for v in values)), "__o").alias("__e"))
+        reset = F.when(F.col("__e.__made").isNotNull() | (F.col("__e.__op") == deletes), F.col("__chunk"))
+        since = lambda v: F.last(F.when(F.col(f"__e.{v}").isNotNull(), F.struct(F.col("__chunk").alias("c"), F.col(f"__e.{v}").alias("v"))), ignorenulls=True).over(chunks)
+        ends = ends.withColumns({"__reset": last(reset, chunks), "__co": F.last("__e.__o").over(chunks), **{f"__c{v}": since(v) for v in values}})
+        acts = acts.join(ends.drop("__e"), part, "left")
+        carried_o = F.col("__co")
+        carried = {v: F.when(F.col("__reset").isNull(), F.coalesce(F.col(f"__c{v}.v"), carried[v])).when(F.col(f"__c{v}.c") >= F.col("__reset"), F.col(f"__c{v}.v")) for v in values}
+    image = F.struct(o.alias("o"), *(F.coalesce(fresh(v), F.when(F.col("__made").isNull(), carried[v])).alias(v) for v in values))
+    start = F.struct(carried_o.alias("o"), *(carried[v].cast(acts.schema[v].dataType).alias(v) for v in values))
+    acts = acts.withColumn("__after", image).withColumn("__first", F.row_number().over(w) == 1)
+    old = F.when(F.col("__first"), start).otherwise(F.lag("__after").over(w))
+    signed = lambda sign, x: F.struct(F.lit(sign).alias("sign"), x.alias("image"))
+    both = F.array(F.when(op_ != deletes, signed(1, F.col("__after"))), F.when(op_ != creates, signed(-1, F.col("__old"))))
+    all_ = acts.withColumn("__old", old).select("__key", F.explode(F.array_compact(both)).alias("__s")).select("__key", "__s.*")
     if base is not None:
-        full = full.join(held, "__key", "left")
-        value = lambda f: F.coalesce(F.col(f"__v_{f}"), F.when(F.col("__made").isNull(), F.col(f"__base.{f}")))
-    return full.select(F.col("__key").alias(key), *(F.col(f"image.{c}").alias(c) for c in order), *(value(f).alias(f) for f in fields))
+        start_image = F.struct(F.lit(None).cast(acts.schema["__o"].dataType).alias("o"), *(F.col(f"__b.{v}").alias(v) for v in values))
+        all_ = all_.unionByName(held.select("__key", F.lit(1).alias("sign"), start_image.alias("image")))
+    now = all_.groupBy("__key", "image").agg(F.sum("sign").alias("__n")).where("__n > 0")
+    return now.select(F.col("__key").alias(key), *(F.col(f"image.o.{c}").alias(c) for c in order), *(F.col(f"image.{v}").alias(f) for f, v in zip(fields, values, strict=True)))

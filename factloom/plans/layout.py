@@ -93,30 +93,6 @@ def grain_of(at: Column, grain: int) -> Column:
     return F.least(F.greatest(F.floor(at / grain), F.col("__low")), F.col("__high"))
 
 
-def hot_bounds(df: DataFrame, keys: list[str], at: str, limit: int, grain: int) -> DataFrame:
-    """Split points of the keys that hold more than ``limit`` rows: ``keys``, ``bounds`` ARRAY<BIGINT>.
-
-    ``at`` is a BIGINT column (an instant). Rows are counted per key and grain, and every ``limit`` rows a shard begins, so the
-    largest state of a task is a key's histogram, bounded by the number of grains in time, never the key's rows.
-    """
-    hist = df.groupBy(*keys, F.expr(f"`{at}` div {grain}").alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
-    hot = hist.groupBy(*keys).agg(F.sum("__n").alias("__all")).where(F.col("__all") > limit).drop("__all")
-    before = W.partitionBy(*keys).orderBy("__g").rowsBetween(W.unboundedPreceding, -1)
-    shards = (
-        hist.join(hot, keys, "left_semi")
-        .withColumn("__shard", F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / limit))
-        .groupBy(*keys, "__shard")
-        .agg((F.min("__g") * grain).alias("__from"))
-    )
-    # the first shard's start is no split point
-    return shards.where("__shard > 0").groupBy(*keys).agg(F.sort_array(F.collect_list("__from")).alias("bounds"))
-
-
-def shard_of(bounds: Column, at: Column) -> Column:
-    """The shard of an instant: the number of split points at or before it."""
-    return F.when(bounds.isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda b: b <= at)))
-
-
 def global_rank(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df`` with ``rank``, its place (from 1) in a total order over all rows, without gathering them in one task.
 

@@ -27,7 +27,7 @@ def feed(seed, n, ids="abcd"):
     return rows + rows[: n // 10]
 
 
-@pytest.mark.parametrize("seed,more", [(1, {}), (2, dict(chunk_rows=10, grain=1)), (3, dict(chunk_rows=3, grain=1)), (4, dict(chunk_rows=25, grain=4))])
+@pytest.mark.parametrize("seed,more", [(1, {}), (2, dict(chunk_rows=10)), (3, dict(chunk_rows=7)), (4, dict(chunk_rows=25))])
 def test_equals_sequential_replay(spark, seed, more):
     rows = feed(seed, 400)
     base = {"a": {"name": "base", "kind": None}, "z": {"name": None, "kind": "k"}}
@@ -38,6 +38,15 @@ def test_equals_sequential_replay(spark, seed, more):
     assert {tuple(r) for r in got} == {x[:4] for x in fold(rows, {})}
 
 
+def test_a_burst_at_one_instant_is_cut_like_any_other(spark):
+    # 10^5 changes of one row in one instant
+    df = spark.range(100_000).selectExpr("'a' AS id", "CASE WHEN id % 1000 = 0 THEN 'make' WHEN id % 1000 = 998 AND id < 90000 THEN 'drop' ELSE 'set' END AS op", "7L AS hlc", "'w' AS writer", "id AS seq", "CASE WHEN id % 7 = 0 THEN concat('n', id) END AS name", "CASE WHEN id = 90001 THEN 't' WHEN id = 500 THEN 'old' END AS kind", "1 AS image")
+    got = apply_changes(df, fields=["name", "kind"], chunk_rows=5000, **ARGS).collect()
+    assert [tuple(r) for r in got] == [("a", 7, "w", 99_999, "n99995", "t")]
+    got = apply_changes(df.where("seq < 90000"), fields=["name", "kind"], chunk_rows=5000, **ARGS).collect()
+    assert got == []
+
+
 def test_empty_feed_and_repeats(spark):
     none = spark.createDataFrame([], FEED)
     assert apply_changes(none, **ARGS).count() == 0
