@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import types as T
 
-from factloom.operators.incremental import Target, content_version, new_records, process_runs
+from factloom.operators.incremental import Conflict, Target, content_version, new_records, process_runs
 
 SCHEMA = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("w", T.StringType()), T.StructField("s", T.LongType()), T.StructField("version", T.StringType())])
 
@@ -30,14 +30,14 @@ def args():
     return dict(keys=["w", "s"], version="version", arrived="landed")
 
 
-@pytest.mark.parametrize("per", [1, 2, 16])
+@pytest.mark.parametrize("per", [1, 3, 256])
 def test_each_content_belongs_to_the_first_run_that_sees_it(spark, tmp_path, per):
     target = Target(spark, str(tmp_path / "t"), SCHEMA)
-    process_runs(source(spark), target, RUNS, runs_per_version=per, **args())
+    process_runs(source(spark), target, RUNS, backlog=per, **args())
     assert {tuple(r)[:3] for r in target.read().collect()} == TRUE
     assert target.read().count() == 3
-    assert target.version() == -(-4 // per)
-    process_runs(source(spark), target, RUNS, runs_per_version=per, **args())  # nothing left to do
+    assert target.version() == 4 and [n["runs"] for n in target.notes()] == [[11], [12], [13], [14]]
+    process_runs(source(spark), target, RUNS, backlog=per, **args())  # nothing left to do
     assert target.read().count() == 3
 
 
@@ -52,16 +52,50 @@ def test_a_run_that_dies_leaves_nothing(spark, tmp_path):
     assert {tuple(r)[:3] for r in target.read().collect()} == TRUE
 
 
-def test_only_one_of_two_writers_publishes_a_version(spark, tmp_path):
+@pytest.mark.parametrize("posix", [True, False])
+def test_only_one_of_two_writers_publishes_a_version(spark, tmp_path, posix):
     target = Target(spark, str(tmp_path / "t"), SCHEMA)
+    assert target._local
+    if not posix:
+        target._local = None  # as on a file system without links
     rows = spark.createDataFrame([(1, "a", 1, "v")], SCHEMA)
     assert target.publish(rows, 0) == 1
-    with pytest.raises(Exception, match="exist"):
+    with pytest.raises(Conflict, match="exist"):
         target.publish(rows, 0)
     assert target.version() == 1 and target.read().count() == 1
     assert target.publish(rows, 1) == 2 and target.read(1).count() == 1
 
 
+def test_a_version_published_in_between_is_neither_lost_nor_repeated(spark, tmp_path):
+    class Raced(Target):
+        raced = False
+
+        def read(self, version=None, entries=None):
+            got = super().read(version, entries)
+            if not self.raced:
+                # another writer processes the second run between this one's reading of the log and its announcing
+                self.raced = True
+                process_runs(source(spark), Target(spark, self.path, SCHEMA), RUNS[1:2], **args())
+            return got
+
+    target = Raced(spark, str(tmp_path / "t"), SCHEMA)
+    target.publish(spark.createDataFrame([], SCHEMA), 0, {"runs": [10]})
+    process_runs(source(spark), target, RUNS, **args())
+    got = [tuple(r)[:3] for r in target.read().collect()]
+    # the other writer saw what arrived before its run started, also what an earlier one would have taken
+    assert sorted(got) == [(12, "a", 1), (12, "b", 1), (13, "a", 1)]
+    assert [n["runs"] for n in target.notes()] == [[10], [12], [11], [13], [14]]
+    assert target.clean(older_than_ms=0) == 1 and target.clean() == 0 and target.read().count() == 3
+
+
+def test_a_record_that_lands_late_with_an_old_stamp_is_caught(spark, tmp_path):
+    target = Target(spark, str(tmp_path / "t"), SCHEMA)
+    process_runs(source(spark), target, RUNS[:3], **args())
+    late = [*ROWS, ("e", 1, "x", 1)]
+    process_runs(source(spark, late), target, RUNS, **args())
+    assert {tuple(r)[:3] for r in target.read().collect()} == TRUE | {(14, "e", 1)}
+
+
 def test_empty_source_and_null_safe_anti_join(spark, tmp_path):
     target = Target(spark, str(tmp_path / "t"), SCHEMA)
     assert target.read().count() == 0
