@@ -69,6 +69,17 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(_packs(spark, folder), table(spark, folder, "pack_sizes"), pack_id="pack_id", capacity="capacity_tokens")
 
 
+def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What every packing keeps: all documents placed, no pack over its capacity, none cut that fits into one."""
+    packed = _packs(spark, folder).join(F.broadcast(table(spark, folder, "pack_sizes")), "pack_id")
+    bins = packed.groupBy("pack_id", "bin_id", "capacity_tokens").agg(F.sum("part_size").alias("n"))
+    over = bins.groupBy("pack_id").agg(F.count_if(F.col("bin_id").isNotNull() & (F.col("n") > F.col("capacity_tokens"))).alias("over_capacity"))
+    docs = packed.groupBy("pack_id", "doc_id", "capacity_tokens").agg(F.sum("part_size").alias("n"), F.count(F.lit(1)).alias("parts"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity_tokens")))
+    kept = docs.groupBy("pack_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("parts") > least).alias("needless_cuts"))
+    return kept.join(over, "pack_id").select("pack_id", "documents", "over_capacity", "needless_cuts")
+
+
 def _uses(spark: SparkSession, folder: str, total: str | None = None) -> DataFrame:
     sizes = token_sizes(table(spark, folder, "documents"), id="doc_id", text="text", keep=["source", "lang", "kind"])
     return mixing.mix(
@@ -140,12 +151,13 @@ WITH w AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i
 
 QUERIES = {
     "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_clusters": p3_clusters,
-    "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_shares_all": p7_shares_all,
+    "p6_packs": p6_packs, "p6_fill": p6_fill, "p6_kept": p6_kept, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_shares_all": p7_shares_all,
     "p8_found": p8_found, "p8_shares": p8_shares, "p8_cutoffs": p8_cutoffs,
 }
 SQL = {
     "p2_found": _P2_CTE + "SELECT first AS first_seq, seq FROM g WHERE first <> seq",
     "p2_records": _P2_CTE + "SELECT first AS seq, arg_min(subject, seq) AS subject, arg_min(predicate, seq) AS predicate, arg_min(object, seq) AS object, count(*) AS n_copies FROM g GROUP BY first",
+    "p6_kept": "SELECT pack_id, (SELECT count(*) FROM documents) AS documents, 0 AS over_capacity, 0 AS needless_cuts FROM pack_sizes",
     "p8_found": _P8_CTE + "SELECT doc_id FROM s WHERE share >= 0.2",
     "p8_shares": _P8_CTE + "SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(share, 0), 9) AS repeated_share FROM documents d LEFT JOIN s USING (doc_id)",
 }
