@@ -59,7 +59,7 @@ def budgets(leaves: list[tuple[tuple[str, ...], float, float]], total: float) ->
     return out
 
 
-def plan(leaf_sizes: pd.DataFrame, targets: pd.DataFrame, total: float | str | None) -> pd.DataFrame:
+def plan(leaf_sizes: pd.DataFrame, targets: pd.DataFrame, total: float | str) -> pd.DataFrame:
     """The budgets of one mix: leaf_sizes (domain, lang, source, tokens), targets (source, share, repeats); see :func:`mix`."""
     held = leaf_sizes[leaf_sizes.tokens > 0]
     by_source = held.groupby("source").tokens.sum()
@@ -69,7 +69,7 @@ def plan(leaf_sizes: pd.DataFrame, targets: pd.DataFrame, total: float | str | N
     weight = sum(share[s] for s in present)
     if not present:
         return pd.DataFrame({"domain": [], "lang": [], "source": [], "tokens": [], "budget": []})
-    if total is None:  # the most that leaves every source that has documents at its share of those that have
+    if total == "met":  # the most that leaves every source that has documents at its share of those that have
         total = min(by_source[s] * repeats[s] * weight / share[s] for s in present)
     elif total == "all":
         total = sum(by_source[s] for s in present)
@@ -80,13 +80,14 @@ def plan(leaf_sizes: pd.DataFrame, targets: pd.DataFrame, total: float | str | N
 
 def mix(
     documents: DataFrame, targets: DataFrame, *, id: str, source: str, lang: str, domain: str, size: str, mix_id: str, share: str, max_repeats: str,
-    total_tokens: int | str | None = None, seed: int = 5, bucket_rows: int = 5000,
+    total_tokens: int | str, seed: int = 5, bucket_rows: int = 5000,
 ) -> DataFrame:
     """How often each mix uses each document: ``mix_id``, ``id``, ``source``, ``size``, ``uses``; documents of a mix's sources that it doesn't use have 0.
 
-    The total of a mix is ``total_tokens``, or by default the most at which every source of the mix that has documents reaches its share; the shares of
-    sources without any go to the others by weight; "all" stands for all tokens of the mix's sources. With a larger total, what sources can't hold at ``max_repeats`` uses is shared out:
-    to sources of the same domain and language, then to other languages of the domain, then to other domains.
+    The total of a mix is ``total_tokens``: a number, or "all" for as many as its sources hold, or "met" for the most at which every source of the mix that
+    has documents reaches its share, which the scarcest source decides and which may leave most of the others unused. What sources can't hold at
+    ``max_repeats`` uses is shared out: to sources of the same domain and language, then to other languages of the domain, then to other domains.
+    The shares of sources without any documents go to the others by weight.
 
     A leaf with a budget of k times its size and more is used k times, and the rest of the budget is the prefix of a seeded order. What the prefixes of
     a source's leaves leave over, as documents are whole, goes to the next documents behind their ends that fit, then to those of further epochs.
@@ -154,11 +155,15 @@ def mix(
 
 
 def shares(uses: DataFrame, targets: DataFrame, *, source: str, size: str, mix_id: str, share: str) -> DataFrame:
-    """Per mix and targeted source: documents used, tokens drawn, the target share and the share reached; sources without documents have 0."""
-    drawn = uses.groupBy(mix_id, source).agg(F.sum(F.col(size) * F.col("uses")).alias("tokens"), F.sum((F.col("uses") > 0).cast("bigint")).alias("documents"), F.max("uses").alias("most_uses"))
+    """Per mix and targeted source: the target share and the share reached, tokens drawn, documents used, most uses of one, and tokens that no use draws.
+
+    Sources without documents have 0 of all.
+    """
+    used = F.col("uses") > 0
+    drawn = uses.groupBy(mix_id, source).agg(F.sum(F.col(size) * F.col("uses")).alias("tokens"), F.count_if(used).alias("documents"), F.max("uses").alias("most_uses"), F.sum(F.when(~used, F.col(size))).alias("unused_tokens"))
     total = drawn.groupBy(mix_id).agg(F.sum("tokens").alias("__all"))
     goal = targets.select(mix_id, source, share).dropDuplicates([mix_id, source])
     full = goal.join(drawn, [mix_id, source], "left").join(total, mix_id, "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     reached = F.when(F.col("__all") > 0, zero("tokens") / F.col("__all")).otherwise(0.0)
-    return full.select(mix_id, source, F.col(share), F.round(reached, 6).alias("reached_share"), zero("tokens").alias("tokens"), zero("documents").alias("documents"), zero("most_uses").alias("most_uses"))
+    return full.select(mix_id, source, F.col(share), F.round(reached, 6).alias("reached_share"), *map(zero, ("tokens", "documents", "most_uses", "unused_tokens")))

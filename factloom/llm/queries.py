@@ -80,7 +80,7 @@ def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
     return kept.join(over, "pack_id").select("pack_id", "documents", "over_capacity", "needless_cuts")
 
 
-def _uses(spark: SparkSession, folder: str, total: str | None = None) -> DataFrame:
+def _uses(spark: SparkSession, folder: str, total: int | str) -> DataFrame:
     sizes = token_sizes(table(spark, folder, "documents"), id="doc_id", text="text", keep=["source", "lang", "kind"])
     return mixing.mix(
         sizes, table(spark, folder, "mix_targets"), id="doc_id", source="source", lang="lang", domain="kind", size="n_tokens", mix_id="mix_id", share="target_share",
@@ -88,23 +88,34 @@ def _uses(spark: SparkSession, folder: str, total: str | None = None) -> DataFra
     )
 
 
+#: A mix is to be as large as its sources together: scarce ones run short and are repeated as often as they may be.
+TOTAL = "all"
+
+
 def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
     """How often each mix uses each document."""
-    return _uses(spark, folder)
+    return _uses(spark, folder, TOTAL)
 
 
-def _shares(spark: SparkSession, folder: str, total: str | None = None) -> DataFrame:
+def _shares(spark: SparkSession, folder: str, total: int | str) -> DataFrame:
     return mixing.shares(_uses(spark, folder, total), table(spark, folder, "mix_targets"), source="source", size="n_tokens", mix_id="mix_id", share="target_share")
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """The share each source reaches in each mix."""
-    return _shares(spark, folder)
+    """The share each source reaches in each mix, and what of it stays unused."""
+    return _shares(spark, folder, TOTAL)
+
+
+def p7_shares_met(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for mixes only so large that every source that has documents meets its share."""
+    return _shares(spark, folder, "met")
 
 
-def p7_shares_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The shares where a mix is to be as large as all its sources together, so that small sources run short."""
-    return _shares(spark, folder, "all")
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What every mix keeps: its sources' documents once each, none used more often than its source allows."""
+    goal = table(spark, folder, "mix_targets").select("mix_id", "source", "max_repeats")
+    used = _uses(spark, folder, TOTAL).join(F.broadcast(goal), ["mix_id", "source"])
+    return used.groupBy("mix_id").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("uses") > F.col("max_repeats")).alias("over_repeats"))
 
 
 def _measured(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,13 +162,15 @@ WITH w AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i
 
 QUERIES = {
     "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_clusters": p3_clusters,
-    "p6_packs": p6_packs, "p6_fill": p6_fill, "p6_kept": p6_kept, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_shares_all": p7_shares_all,
+    "p6_packs": p6_packs, "p6_fill": p6_fill, "p6_kept": p6_kept, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_shares_met": p7_shares_met, "p7_kept": p7_kept,
     "p8_found": p8_found, "p8_shares": p8_shares, "p8_cutoffs": p8_cutoffs,
 }
 SQL = {
     "p2_found": _P2_CTE + "SELECT first AS first_seq, seq FROM g WHERE first <> seq",
     "p2_records": _P2_CTE + "SELECT first AS seq, arg_min(subject, seq) AS subject, arg_min(predicate, seq) AS predicate, arg_min(object, seq) AS object, count(*) AS n_copies FROM g GROUP BY first",
     "p6_kept": "SELECT pack_id, (SELECT count(*) FROM documents) AS documents, 0 AS over_capacity, 0 AS needless_cuts FROM pack_sizes",
+    "p7_kept": """SELECT mix_id, count(*) AS documents, count(*) AS rows, 0 AS over_repeats FROM mix_targets t JOIN documents d USING (source)
+WHERE regexp_matches(d.text, '.') OR contains(d.text, chr(10)) GROUP BY mix_id""",
     "p8_found": _P8_CTE + "SELECT doc_id FROM s WHERE share >= 0.2",
     "p8_shares": _P8_CTE + "SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(share, 0), 9) AS repeated_share FROM documents d LEFT JOIN s USING (doc_id)",
 }
