@@ -118,36 +118,39 @@ def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
     return used.groupBy("mix_id").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("uses") > F.col("max_repeats")).alias("over_repeats"))
 
 
-def _measured(spark: SparkSession, folder: str) -> DataFrame:
-    return cut(repetition.measure(table(spark, folder, "documents"), id="doc_id", text="text", keep=["lang"]))
-
-
-#: A document is repetitive when at least this share of its words is repeated.
+#: The label of a held-out document: repetitive when at least this share of its words is repeated.
 REPETITIVE = 0.2
+#: Where nothing is certified.
 DEFAULT = {"words": REPETITIVE}
 STRATUM = ["lang"]
-
-
-def _cutoffs(measured: DataFrame) -> DataFrame:
-    labelled = repetition.holdout(measured, id="doc_id", stratum=STRATUM, bad=F.col("words") >= REPETITIVE)
-    return repetition.choose_cutoffs(labelled, stratum=STRATUM, bad="bad", grid=(0.2, 0.15, 0.1, 0.05, 0.02), default=DEFAULT)
+#: Cutoffs on both sides of the label's, and the false rejection that is allowed: of 10,000 good documents, with 5% risk over all languages.
+FINE_GRID = (0.5, 0.4, 0.35, 0.3, 0.27, 0.25, 0.24, 0.23, 0.22, 0.21, 0.2, 0.19, 0.18, 0.17, 0.16, 0.15, 0.13, 0.1)
+FINE_ALPHA = 0.0005
+FINE_HOLDOUT = 20_000
+GRID = (0.2, 0.15, 0.1, 0.05, 0.02)
+ALPHA = 0.02
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of which at least a fifth of the words is repeated: those some cutoff rejects, checked against the definition."""
-    measured = _measured(spark, folder)
-    return repetition.reject(measured, _cutoffs(measured), STRATUM, DEFAULT).where("size(rejected_by) > 0").where(F.col("words") >= REPETITIVE).select("doc_id")
+    """Documents that the certified cutoff of their language on repeated words rejects."""
+    measured = cut(repetition.measure(table(spark, folder, "documents"), id="doc_id", text="text", keep=["lang"], measures=("words",)))
+    cutoffs = repetition.certify(
+        measured, id="doc_id", stratum=STRATUM, bad=F.col("words") >= REPETITIVE, grid=FINE_GRID, alpha=FINE_ALPHA, default=DEFAULT, per_stratum=FINE_HOLDOUT, measures=("words",)
+    )
+    return repetition.reject(measured, cutoffs, STRATUM, DEFAULT).where("size(rejected_by) > 0").select("doc_id")
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The repeated share of every document."""
-    measured = repetition.measure(table(spark, folder, "documents"), id="doc_id", text="text")
+    measured = repetition.measure(table(spark, folder, "documents"), id="doc_id", text="text", measures=("words",))
     return measured.select("doc_id", "n_words", F.round("words", 9).alias("repeated_share"))
 
 
 def p8_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
-    """The certified cutoffs per language and measure."""
-    return _cutoffs(_measured(spark, folder))
+    """The certified cutoffs per language on repeated words, sentences and paragraphs."""
+    measured = cut(repetition.measure(table(spark, folder, "documents"), id="doc_id", text="text", keep=["lang"]))
+    cutoffs = repetition.certify(measured, id="doc_id", stratum=STRATUM, bad=F.col("words") >= REPETITIVE, grid=GRID, alpha=ALPHA, default=DEFAULT)
+    return cutoffs.select("lang", "measure", "cutoff", "certified", "n_good")
 
 
 _P8_CTE = r"""
@@ -160,6 +163,23 @@ WITH w AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i
  s AS (SELECT doc_id, count(*) AS n_words, avg(rep) AS share FROM r GROUP BY doc_id)
 """
 
+#: The shares of units whose words occurred before in the text, and the cutoffs certified on all rows of a language (the holdout where it is that small).
+_P8_CUTOFFS = (
+    _P8_CTE.rstrip()
+    + r""",
+ u AS (SELECT doc_id, 'sentences' AS measure, unnest(x) AS unit, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[.!?\n]+') AS x FROM documents WHERE text IS NOT NULL)
+   UNION ALL SELECT doc_id, 'paragraphs', unnest(x), generate_subscripts(x, 1) FROM (SELECT doc_id, regexp_split_to_array(lower(text), '\n\s*\n') AS x FROM documents WHERE text IS NOT NULL)),
+ uw AS (SELECT doc_id, measure, i, array_to_string(regexp_extract_all(unit, '[\p{L}\p{Nd}]+'), ' ') AS k, len(regexp_extract_all(unit, '[\p{L}\p{Nd}]+')) AS n FROM u),
+ us AS (SELECT doc_id, measure, sum(CASE WHEN nth > 1 THEN n ELSE 0 END) / sum(n) AS share FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, measure, k ORDER BY i) AS nth FROM uw WHERE n > 0) GROUP BY 1, 2),
+ m AS (SELECT d.doc_id, d.lang, coalesce(s.share, 0) >= 0.2 AS bad, k.measure, coalesce(CASE WHEN k.measure = 'words' THEN s.share ELSE us.share END, 0) AS share
+   FROM documents d CROSS JOIN (VALUES ('words'), ('sentences'), ('paragraphs')) k(measure) LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN us ON us.doc_id = d.doc_id AND us.measure = k.measure),
+ c AS (SELECT lang, measure, g, count(*) FILTER (NOT bad) AS n, count(*) FILTER (NOT bad AND share >= g) AS k FROM m CROSS JOIN (VALUES (0.2::DOUBLE), (0.15), (0.1), (0.05), (0.02)) x(g) GROUP BY 1, 2, 3),
+ p AS (SELECT *, (SELECT count(*) FROM (SELECT DISTINCT lang FROM documents)) * 3 AS tests FROM c),
+ b AS (SELECT *, n > 0 AND k < n AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02) + (n - j) * ln(0.98)))) <= 0.05 / tests AS ok FROM p),
+ r2 AS (SELECT *, bool_and(ok) OVER (PARTITION BY lang, measure ORDER BY g DESC) AS chain FROM b)
+SELECT lang, measure, coalesce(min(g) FILTER (chain), CASE WHEN measure = 'words' THEN 0.2::DOUBLE END) AS cutoff, bool_or(chain) AS certified, max(n) AS n_good FROM r2 GROUP BY 1, 2"""
+)
+
 QUERIES = {
     "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_clusters": p3_clusters,
     "p6_packs": p6_packs, "p6_fill": p6_fill, "p6_kept": p6_kept, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_shares_met": p7_shares_met, "p7_kept": p7_kept,
@@ -171,6 +191,7 @@ SQL = {
     "p6_kept": "SELECT pack_id, (SELECT count(*) FROM documents) AS documents, 0 AS over_capacity, 0 AS needless_cuts FROM pack_sizes",
     "p7_kept": """SELECT mix_id, count(*) AS documents, count(*) AS rows, 0 AS over_repeats FROM mix_targets t JOIN documents d USING (source)
 WHERE regexp_matches(d.text, '.') OR contains(d.text, chr(10)) GROUP BY mix_id""",
+    "p8_cutoffs": _P8_CUTOFFS,
     "p8_found": _P8_CTE + "SELECT doc_id FROM s WHERE share >= 0.2",
     "p8_shares": _P8_CTE + "SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(share, 0), 9) AS repeated_share FROM documents d LEFT JOIN s USING (doc_id)",
 }
