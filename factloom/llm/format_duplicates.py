@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.plans.layout import cut, sized
+
 #: The modulus of the additive multiset hash, a Mersenne prime: sums of two residues stay below 2^62.
 PRIME = (1 << 61) - 1
 
@@ -31,7 +33,8 @@ def parts_of(text: Column) -> Column:
     gap, sign, other = GAP, "[:=]", r"[^\p{L}\p{Nd}:=]"
     part = f"{WORD}{other}*{sign}{gap}*?{WORD}"
     lower = F.lower(text)
-    whole = lower.rlike(f"^{other}*{part}(?:{other}+{part})+{other}*$")
+    may = F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))  # spares most texts the expression
+    whole = may & lower.rlike(f"^{other}*{part}(?:{other}+{part})+{other}*$")
     found = F.regexp_extract_all(lower, F.lit(f"({WORD}){other}*{sign}{gap}*?({WORD})"), F.lit(0))
     halves = lambda x: F.struct(F.regexp_extract(x, f"^({WORD})", 1).alias("name"), F.regexp_extract(x, f"({WORD})$", 1).alias("value"))
     return F.when(whole, F.array_distinct(F.transform(found, halves)))
@@ -68,18 +71,27 @@ def format_groups(records: DataFrame, *, id: str, fields: list[str], listed: lis
     Defined cases: a null field equals null only, an empty one also equals what has no letters or digits; records with a null id take no part;
     repeated rows (same id) count once each and give one row; a record without copies is its own first; empty tables give no rows.
 
-    Skew: the first of a group is a partial aggregate of fixed size, so a group with a third of all records costs one row per map
-    task; the comparison is a join of the records with one row per group, whose hot partitions the adaptive planner splits.
+    Records are normalized once and written with their fingerprints. The first of a group is a hash aggregate of numbers, which folds before
+    the shuffle, so a group with a third of all records costs one row per map task. Records without a fellow are done then; the others are
+    compared with their group's first by hash joins, broadcast where the counted groups are few, whose hot partitions the adaptive planner splits
+    otherwise. Nothing is sorted.
     """
-    rows = records.select(F.col(id).alias("__id"), *fields).dropna(subset=["__id"]).withColumn("__p", pairs_of(fields, listed or [])).select("__id", "__p")
-    rows = rows.withColumn("__fp", fingerprint(F.col("__p")))
-    kept = rows.groupBy("__fp").agg(F.min_by(F.struct("__id", "__p"), "__id").alias("__k"))
-    checked = rows.join(kept, "__fp").withColumn("__ok", _same(F.col("__p"), F.col("__k.__p")))
-    agree = checked.where("__ok").select(F.col("__k.__id").alias("first"), F.col("__id").alias("id"))
+    rows = records.select(F.col(id).alias("__id"), *fields).dropna(subset=["__id"]).withColumn("__p", pairs_of(fields, listed or []))
+    rows = cut(rows.select("__id", "__p", fingerprint(F.col("__p")).alias("__fp")).select("__id", "__p", F.col("__fp.a").alias("__a"), F.col("__fp.b").alias("__b")))
+    fp = ["__a", "__b"]
+    firsts = cut(rows.groupBy(*fp).agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("__n")))
+    alone = firsts.where("__n = 1").select("first", F.col("first").alias("id"))
+    groups = firsts.where("__n > 1").drop("__n")
+    n = groups.count()
+    members = cut(rows.join(sized(groups, n), fp))  # groups are rows of fixed width
+    kept = members.where("__id = first").select(*fp, F.col("__p").alias("__k"))
+    checked = members.join(kept.hint("shuffle_hash"), fp).withColumn("__ok", _same(F.col("__p"), F.col("__k")))
+    agree = checked.where("__ok").select("first", F.col("__id").alias("id"))
     # records that share a fingerprint with others but not their content: grouped by the content itself
     odd = checked.where("NOT __ok").withColumn("__c", F.array_sort("__p")).select("__id", "__c")
-    split = odd.join(odd.groupBy("__c").agg(F.min("__id").alias("first")), "__c").select("first", F.col("__id").alias("id"))
-    return agree.unionByName(split).distinct()
+    by_content = odd.groupBy("__c").agg(F.min("__id").alias("first")).hint("shuffle_hash")
+    split = odd.join(by_content, "__c").select("first", F.col("__id").alias("id"))
+    return alone.unionByName(agree.unionByName(split).distinct())
 
 
 def collapse(records: DataFrame, *, id: str, fields: list[str], listed: list[str] | None = None) -> DataFrame:

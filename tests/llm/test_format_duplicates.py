@@ -36,7 +36,7 @@ def test_groups(spark):
 
 def test_same_fingerprint_of_different_content_is_told_apart(spark):
     rows = [(1, "a", "p"), (2, "A", "P"), (3, "b", "q"), (4, "B", "q."), (5, "c", "r")]
-    clash = lambda pairs: F.lit(1)
+    clash = lambda pairs: F.struct(F.lit(1).alias("a"), F.lit(1).alias("b"))
     assert groups(spark, rows, fingerprint=clash) == groups(spark, rows) == {(1, 1), (1, 2), (3, 3), (3, 4), (5, 5)}
 
 
@@ -52,3 +52,14 @@ def test_hot_group_and_collapse(spark):
     df = spark.createDataFrame([(i, s, o, "clash", 0) for i, s, o in rows], SCHEMA)
     got = {x.id: x.n_copies for x in collapse(df.drop("n_copies"), id="id", fields=["s", "o"], listed=["o"]).collect()}
     assert got[0] == 1000 and sum(got.values()) == 3000 and len(got) == 2001
+
+
+def test_nothing_is_sorted(spark, capsys):
+    rows = [(i, f"s{i % 50}", "a=1; b=2") for i in range(200)]
+    df = spark.createDataFrame([(i, s, o, "clash", 0) for i, s, o in rows], SCHEMA)
+    found = format_groups(df, id="id", fields=["s", "o"], listed=["o"])
+    found.collect()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" in plan and "Join" in plan
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and " Sort " not in plan
