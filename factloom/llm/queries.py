@@ -54,6 +54,11 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return name_variants.link_names(table(spark, folder, "entities"), table(spark, folder, "name_forms")).select("id", F.col("cluster").alias("cluster_id"))
 
 
+def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """What share of the spellings of a sample of key words, found by comparing with all, shares a bucket, by length."""
+    return name_variants.candidate_recall(cut(name_variants.key_words(table(spark, folder, "entities"), table(spark, folder, "name_forms"))))
+
+
 def _packs(spark: SparkSession, folder: str) -> DataFrame:
     sizes = token_sizes(table(spark, folder, "documents"), id="doc_id", text="text")
     return packing.pack(sizes, table(spark, folder, "pack_sizes"), id="doc_id", size="n_tokens", pack_id="pack_id", capacity="capacity_tokens")
@@ -181,7 +186,7 @@ SELECT lang, measure, coalesce(min(g) FILTER (chain), CASE WHEN measure = 'words
 )
 
 QUERIES = {
-    "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_clusters": p3_clusters,
+    "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_clusters": p3_clusters, "p3_recall": p3_recall,
     "p6_packs": p6_packs, "p6_fill": p6_fill, "p6_kept": p6_kept, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_shares_met": p7_shares_met, "p7_kept": p7_kept,
     "p8_found": p8_found, "p8_shares": p8_shares, "p8_cutoffs": p8_cutoffs,
 }
