@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import constants as K
 from factloom.functions.exprs import keyword, norm_name
+from factloom.plans.shipping import ship
 
 
 @dataclass(slots=True)
@@ -176,6 +177,7 @@ def _fold(rows: DataFrame, registry: DataFrame, now: Column, prefix: str) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["seq", "status", "fact_id", "targets", "effective_at", "reason", "confidence"])
 
     timed = rows.withColumns({"t_valid": F.unix_micros("t_valid"), "t_invalid": F.unix_micros("t_invalid"), "__now": F.unix_micros(now), "__new": F.col("held_id").isNull()})
+    ship(rows.sparkSession)
     ordered = timed.repartition("subject_key", "group").sortWithinPartitions("subject_key", "group", "__new", "seq").select("subject_key", "group", "__now", *COLUMNS)
     return ordered.mapInArrow(run, SCHEMA).withColumn("effective_at", F.timestamp_micros("effective_at"))
 
@@ -257,7 +259,7 @@ def assert_onto(held: DataFrame, entities: DataFrame, registry: DataFrame, asser
     closing = made.where("status = 'supersede'").select(F.explode("targets").alias("id"), "effective_at", F.col("fact_id").alias("by"))
     closed = cut(closing.groupBy("id").agg(F.min(F.struct("effective_at", "by")).alias("closed")))
     raised = cut(done.where("status = 'reinforce'").groupBy(F.col("fact_id").alias("id")).agg(F.max("confidence").alias("raised")))
-    facts = good.drop("confidence").join(made.select("seq", F.col("fact_id").alias("id")), "seq").join(good.select("seq", "confidence"), "seq").join(closed, "id", "left").join(raised, "id", "left").select(
+    facts = good.join(made.select("seq", F.col("fact_id").alias("id")), "seq").join(closed, "id", "left").join(raised, "id", "left").select(
         "id", F.col("subject_key").alias("subject_id"), "predicate", "object_kind", F.when(entity, F.col("object_key")).alias("object_ref"), F.when(~entity, F.col("object")).alias("object_lit"), "t_valid",
         F.coalesce("closed.effective_at", "t_invalid").alias("t_invalid"), now.alias("recorded_at"), now.alias("last_reinforced_at"), F.coalesce("raised", "confidence").alias("confidence"), "epistemic", "scope", "source_type", "episode",
         F.concat(F.lit("superseded by "), F.col("closed.by")).alias("invalidation_reason"),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from factloom.functions import constants as K
 from factloom.functions.exprs import effective_confidence, one_line, short_name, valid_at
+from factloom.plans.layout import cut
 
 
 def recent_supersessions(facts: DataFrame, now: Column, days: int = K.SUPERSESSION_DAYS) -> DataFrame:
@@ -43,7 +43,7 @@ def context_lines(hydrated: DataFrame, open_pairs: DataFrame, now: Column, most_
     return every.select("section", "o", "line")
 
 
-HEADERS = {1: "Standing decisions (settled)", 2: "Open conflicts (awaiting review)", 3: "Changed recently", 4: "Current facts (by effective confidence)"}
+HEADERS = {1: "What has been decided", 2: "Statements at odds", 3: "What changed lately", 4: "What holds, surest first"}
 
 
 def fit(preamble: str, sections: list[tuple[str, list[str], int]], budget: int) -> str:
@@ -77,12 +77,12 @@ def fit(preamble: str, sections: list[tuple[str, list[str], int]], budget: int)
 
 def compile_context(lines: DataFrame, preamble: str, budget: int = K.CONTEXT_BUDGET) -> str:
     """The compiled view as text. Only as many first lines of a section as the budget could hold reach the driver; the others are counted."""
-    place = F.row_number().over(W.partitionBy("section").orderBy("o", "line"))
+    lines = cut(lines)
     counts = {r.section: r.n for r in lines.groupBy("section").agg(F.count(F.lit(1)).alias("n")).collect()}
     first: dict[int, list[str]] = {}
-    shortest = 4  # bytes of a line with its break: more lines than this allows can't fit
-    for r in lines.withColumn("place", place).where(F.col("place") <= budget // shortest).orderBy("section", "place").select("section", "line").toLocalIterator():
-        first.setdefault(r.section, []).append(r.line)
+    most = budget // 4  # bytes of the shortest line with its break: more lines than this can't fit
+    for s in counts:  # four sections at most; the first lines of each are a top-k of every partition, then of those
+        first[s] = [r.line for r in lines.where(F.col("section") == s).orderBy("o", "line").limit(most).select("line").collect()]
     return fit(preamble, [(h, first.get(s, []), counts.get(s, 0)) for s, h in HEADERS.items()], budget)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import constants as K
 from factloom.functions.exprs import keyword, norm_name, short_name
+from factloom.plans.layout import cut, free
 
 VIA = ("exact", "alias", "normalized")
 
@@ -76,20 +77,24 @@ def alias_clusters(entities: DataFrame) -> DataFrame:
     return entities.select("id", F.sort_array(names).alias("names")).where("size(names) > 1")
 
 
-def merge_map(merges: DataFrame, most_rounds: int = 20) -> DataFrame:
+def merge_map(merges: DataFrame) -> DataFrame:
     """The final target of every merged entity, where targets may be merged again: columns ``old``, ``new``. merges: ``old``, ``new``.
 
-    Pointers are doubled in each round, so chains of n merges take log n rounds.
+    Pointers are doubled in each round, so chains of n merges take log n rounds, and rounds go on until no pointer moves. Of several targets of one entity
+    the smallest counts. Merges in a circle have no final target: a ValueError names one of them.
     """
-    from factloom.plans.layout import cut
-
-    now = cut(merges.where("old <> new").dropDuplicates(["old"]))
-    for _ in range(most_rounds):
+    now = cut(merges.where("old <> new").groupBy("old").agg(F.min("new").alias("new")))
+    rounds, moving = now.count().bit_length() + 1, True
+    while moving:
         step = now.alias("a").join(now.alias("b"), F.col("a.new") == F.col("b.old"), "left")
         new = cut(step.select("a.old", F.coalesce("b.new", "a.new").alias("new"), F.col("b.new").isNotNull().alias("moved")))
+        still = new.where("moved").first()
+        moving, rounds = still is not None, rounds - 1
+        if moving and not rounds:  # n merges in a row take no more rounds, so these go round
+            raise ValueError(f"circular-merge: {still.old}")
+        free(now)
         now = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
+        now._cut_at = new._cut_at
     return now
 
 

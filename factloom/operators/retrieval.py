@@ -10,7 +10,7 @@ from factloom.functions import constants as K
 from factloom.functions.exprs import effective_confidence, query_tokens, valid_at
 from factloom.operators.reads import touching
 from factloom.operators.resolve import resolve
-from factloom.plans.layout import global_rank
+from factloom.plans.layout import cut, global_rank
 
 
 def tokens_of(spark, query: str) -> list[str]:
@@ -39,18 +39,23 @@ def search(query: str, facts: DataFrame, entities: DataFrame, now: Column) -> Da
     effective confidence. Invalid facts take up ranks but aren't returned.
     """
     terms = list(dict.fromkeys([query, *tokens_of(facts.sparkSession, query)]))
-    text = facts.join(text_hits(facts, [F.col("object_lit")], terms), "id").select("id", F.col("term").cast("double").alias("key"))
-    named = find_entities(entities, terms)
+    named = cut(find_entities(entities, terms))
     fresh = (-effective_confidence(now)).alias("key")
     near = touching(facts, named)
     ends = near.select(F.explode(F.array_compact(F.array("subject_id", "object_ref"))).alias("id")).dropDuplicates().join(named, "id", "left_anti")
-    hop = touching(facts, ends, "out")
-    routes = [text.withColumn("w", F.lit(K.ROUTE_WEIGHTS["text"])), near.select("id", fresh).withColumn("w", F.lit(K.ROUTE_WEIGHTS["entity"])), hop.select("id", fresh).withColumn("w", F.lit(K.ROUTE_WEIGHTS["hop"]))]
-    ranked = None
-    for r in routes:
-        one = global_rank(r, "key", "id")
-        ranked = one if ranked is None else ranked.unionByName(one)
-    rrf = ranked.groupBy("id").agg(F.sum(F.col("w") / (K.RRF_K + F.col("rank"))).alias("rrf"))
+    found = {
+        "text": text_hits(facts, [F.col("object_lit")], terms).select("id", F.col("term").cast("double").alias("key")), "entity": near.select("id", fresh),
+        "hop": touching(facts, cut(ends), "out").select("id", fresh),
+    }
+    routes = [rows.select(F.lit(n).alias("route"), "id", "key") for n, rows in enumerate(found.values())]
+    # one order for all routes: a rank within a route is the rank in it less the routes before
+    ranked = cut(global_rank(routes[0].unionByName(routes[1]).unionByName(routes[2]), "route", "key", "id").select("route", "id", "rank"))
+    sizes = {r.route: r.n for r in ranked.groupBy("route").agg(F.count(F.lit(1)).alias("n")).collect()}
+    term, before = F.lit(0.0), 0
+    for n, name in enumerate(found):
+        term = F.when(F.col("route") == n, K.ROUTE_WEIGHTS[name] / (K.RRF_K + F.col("rank") - before)).otherwise(term)
+        before += sizes.get(n, 0)
+    rrf = ranked.groupBy("id").agg(F.sum(term).alias("rrf"))
     return facts.where(valid_at(now)).join(rrf, "id").select("id", (F.col("rrf") * effective_confidence(now)).alias("score"))
 
 

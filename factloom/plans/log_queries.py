@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from factloom.functions import exprs as X
 from factloom.functions.exprs import complete_json
-from factloom.operators import oplog, reads, reports
+from factloom.operators import measures, oplog, reads, reports
 from factloom.plans import knowledge_queries as kq
 from factloom.plans.knowledge_queries import _CTE, _EFF, _NORM, _T, facts, hydrated, live, now
 from factloom.plans.layout import shared_path
@@ -67,18 +67,36 @@ _REPLAY = _LOG + """, r AS (SELECT t, (hlc, writer, seq) AS o, CASE t WHEN 'inse
 """
 
 
+_KNOWN = """, men AS (SELECT id, min(o) AS since FROM (SELECT unnest([json_extract_string(j, '$.entity.id'), json_extract_string(j, '$.fact.subject.id'), json_extract_string(j, '$.fact.object-ref.id')]) AS id, (hlc, writer, seq) AS o
+   FROM log WHERE t IN ('ensure-entity', 'insert-fact')) WHERE id IS NOT NULL GROUP BY 1),
+ mv AS (SELECT (hlc, writer, seq) AS o, json_extract_string(j, '$.from') AS a, json_extract_string(j, '$.to') AS b FROM log WHERE t = 'repoint-facts'),
+ mk AS (SELECT mv.* FROM mv JOIN men x ON x.id = a AND x.since < o JOIN men y ON y.id = b AND y.since < o WHERE a <> b)
+"""
+
+
 @query(
-    _REPLAY + """SELECT m.id, json_extract_string(m.j, '$.fact.subject.id') AS subject, json_extract_string(m.j, '$.fact.predicate') AS predicate,
- coalesce(json_extract_string(m.j, '$.fact.object-lit'), json_extract_string(m.j, '$.fact.object-ref.id')) AS object, coalesce(raised, json_extract_string(m.j, '$.fact.confidence')::DOUBLE) AS confidence, coalesce(t_invalid_ms, 0) AS t_invalid_ms, reason, coalesce(last_reinforced_ms, 0) AS last_reinforced_ms
- FROM made m LEFT JOIN inv USING (id) LEFT JOIN rei USING (id)"""
+    (_REPLAY + _KNOWN).replace("WITH log", "WITH RECURSIVE log", 1) + """, side AS (SELECT id, made, 's' AS side, json_extract_string(j, '$.fact.subject.id') AS e FROM made UNION ALL SELECT id, made, 'o', json_extract_string(j, '$.fact.object-ref.id') FROM made),
+ w(id, side, e, o) AS (SELECT id, side, e, made FROM side UNION ALL
+   SELECT w.id, w.side, m.b, m.o FROM w JOIN mk m ON m.a = w.e AND m.o > w.o WHERE NOT EXISTS (SELECT 1 FROM mk n WHERE n.a = w.e AND n.o > w.o AND n.o < m.o)),
+ fin AS (SELECT id, arg_max(e, o) FILTER (side = 's') AS subject, arg_max(e, o) FILTER (side = 'o') AS ref FROM w GROUP BY id)
+SELECT m.id, fin.subject, json_extract_string(m.j, '$.fact.predicate') AS predicate,
+ coalesce(json_extract_string(m.j, '$.fact.object-lit'), fin.ref) AS object, coalesce(raised, json_extract_string(m.j, '$.fact.confidence')::DOUBLE) AS confidence, coalesce(t_invalid_ms, 0) AS t_invalid_ms, reason, coalesce(last_reinforced_ms, 0) AS last_reinforced_ms
+ FROM made m JOIN fin USING (id) LEFT JOIN inv USING (id) LEFT JOIN rei USING (id)"""
 )
 def oplog_replay(spark, folder):
     return oplog.facts(log(spark, folder)).fillna(0, ["t_invalid_ms", "last_reinforced_ms"])
 
 
 @query(
-    _REPLAY + """, x AS (SELECT t, coalesce(json_extract_string(j, '$.fact.id'), json_extract_string(j, '$.fact-id')) AS id FROM log WHERE t IN ('insert-fact', 'invalidate', 'reinforce', 'link-conflicts', 'unlink-conflicts'))
-SELECT t, count(*) AS effects, count(m.id) AS known_target FROM x LEFT JOIN made m USING (id) GROUP BY 1"""
+    _LOG + _KNOWN + """, ep AS (SELECT coalesce(json_extract_string(j, '$.episode.id'), json_extract_string(j, '$.id')) AS id, min((hlc, writer, seq)) AS made FROM log WHERE t = 'open-episode' GROUP BY 1),
+ fa AS (SELECT json_extract_string(j, '$.fact.id') AS id, min((hlc, writer, seq)) AS made FROM log WHERE t = 'insert-fact' GROUP BY 1),
+ x AS (SELECT t, (hlc, writer, seq) AS o, json_extract_string(j, '$.fact.id') AS f0, json_extract_string(j, '$.fact-id') AS f1, json_extract_string(j, '$.id') AS e0, coalesce(json_extract_string(j, '$.episode.id'), json_extract_string(j, '$.id')) AS p0, json_extract_string(j, '$.from') AS a, json_extract_string(j, '$.to') AS b FROM log),
+ y AS (SELECT x.t, CASE WHEN x.t IN ('ensure-entity', 'register-predicate', 'repoint-predicate') THEN 1
+   WHEN x.t = 'insert-fact' THEN coalesce((SELECT made = x.o FROM fa WHERE fa.id = f0), false)::INT WHEN x.t = 'open-episode' THEN coalesce((SELECT made = x.o FROM ep WHERE ep.id = p0), false)::INT
+   WHEN x.t IN ('update-entity', 'delete-entity') THEN coalesce((SELECT since < x.o FROM men WHERE men.id = e0), false)::INT WHEN x.t = 'close-episode' THEN coalesce((SELECT made < x.o FROM ep WHERE ep.id = p0), false)::INT
+   WHEN x.t = 'repoint-facts' THEN (coalesce((SELECT since < x.o FROM men WHERE men.id = a), false) AND coalesce((SELECT since < x.o FROM men WHERE men.id = b), false))::INT
+   WHEN x.t IN ('invalidate', 'reinforce', 'link-conflicts', 'unlink-conflicts') THEN coalesce((SELECT made < x.o FROM fa WHERE fa.id = f1), false)::INT ELSE -1 END AS s FROM x)
+SELECT t, count(*) AS effects, count(*) FILTER (s = 1) AS applied, count(*) FILTER (s = 0) AS skipped, count(*) FILTER (s = -1) AS unknown FROM y GROUP BY 1"""
 )
 def replay_report(spark, folder):
     return oplog.replay_report(log(spark, folder))
@@ -194,20 +212,20 @@ def delta_changed_notes(spark, folder):
     return ingest.changed_notes(read, ingest.seen_hashes(earlier.select(ingest.note_ref("pad").alias("ref")), "pad")).select("path", "hash")
 
 
-@query(
-    """SELECT doc_id, nullif(lower(trim(regexp_extract(text, '(?im)^status:\\s*(\\w[\\w -]*?)\\s*$', 1))), '') AS status, nullif(trim(regexp_extract(text, '(?m)^#\\s*(?:ADR[-\\s]?\\d+\\s*[:—-]\\s*)?(.+)$', 1)), '') AS title
-FROM documents WHERE kind = 'adr' AND text IS NOT NULL"""
-)
+_ADR = """WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS ls FROM documents WHERE kind = 'adr' AND text IS NOT NULL),
+ a AS (SELECT doc_id, nullif(lower(trim(substr(list_filter(ls, lambda x: starts_with(lower(x), 'status:'))[1], 8))), '') AS status,
+   nullif(trim(substr(list_filter(ls, lambda x: starts_with(x, '#') AND NOT starts_with(x, '##'))[1], 2)), '') AS title FROM l)
+"""
+
+
+@query(_ADR + "SELECT doc_id, status, title FROM a")
 def decision_records(spark, folder):
     files = table(spark, folder, "documents").where("kind = 'adr'").withColumn("name", F.concat(F.lpad(F.col("doc_id").cast("string"), 4, "0"), F.lit("-record.md")))
     got = ingest.decision_records(files.select("name", "text"), name="name", text="text")
     return got.select(F.regexp_extract("name", r"^0*(\d+)", 1).cast("bigint").alias("doc_id"), "status", "title")
 
 
-@query(
-    """SELECT 'ADR-' || doc_id AS subject, 'core/has-status' AS predicate, s AS object FROM (SELECT doc_id, nullif(lower(trim(regexp_extract(text, '(?im)^status:\\s*(\\w[\\w -]*?)\\s*$', 1))), '') AS s FROM documents
-WHERE kind = 'adr' AND text IS NOT NULL) WHERE s IS NOT NULL"""
-)
+@query(_ADR + "SELECT 'ADR-' || doc_id AS subject, 'core/has-status' AS predicate, status AS object FROM a WHERE status IS NOT NULL")
 def decision_facts(spark, folder):
     files = table(spark, folder, "documents").where("kind = 'adr'").withColumn("name", F.concat(F.lit("0"), F.col("doc_id").cast("string"), F.lit("-record.md")))
     return ingest.decision_facts(ingest.decision_records(files.select("name", "text"), name="name", text="text")).select("subject", "predicate", "object")
@@ -283,15 +301,27 @@ def recent_supersessions(spark, folder):
 
 
 _LINE = "'- ' || subject_name || ' ' || split_part(predicate, '/', -1) || ' ' || CASE WHEN object_kind = 'entity' THEN object_name ELSE '\"' || regexp_replace(coalesce(object_name, ''), '\\s*\\n\\s*', ' ', 'g') || '\"' END"
+_OBJ = "CASE WHEN {0}.object_kind = 'entity' THEN {0}.object_name ELSE '\"' || regexp_replace(coalesce({0}.object_name, ''), '\\s*\\n\\s*', ' ', 'g') || '\"' END"
+_HEAD = "'- ' || {0}.subject_name || ' ' || split_part({0}.predicate, '/', -1) || ': ' || " + _OBJ
+_DAY = "strftime({0} AT TIME ZONE 'UTC', '%Y-%m-%d')"
 
 
 @query(
-    _CTE + f""", top AS (SELECT *, coalesce({_EFF}, 0) AS eff FROM live WHERE epistemic IS DISTINCT FROM 'commitment' AND source_type IS DISTINCT FROM 'code' ORDER BY eff DESC, subject_name, id LIMIT 50)
-SELECT 1 AS section, {_LINE} || ' (since ' || strftime(t_valid AT TIME ZONE 'UTC', '%Y-%m-%d') || ')' AS line FROM live WHERE epistemic = 'commitment' UNION ALL SELECT 4, {_LINE} || printf(' (%.2f)', eff) FROM top"""
+    _CTE + f""", one AS (SELECT id FROM predicates WHERE value_exclusivity = 'exclusive'), ex AS (SELECT * FROM live WHERE predicate IN (SELECT id FROM one)),
+ pr AS (SELECT CASE WHEN (coalesce(a.recorded_at, TIMESTAMPTZ '1900-01-01 00:00:00+00'), a.id) >= (coalesce(b.recorded_at, TIMESTAMPTZ '1900-01-01 00:00:00+00'), b.id) THEN a.id ELSE b.id END AS x, CASE WHEN (coalesce(a.recorded_at, TIMESTAMPTZ '1900-01-01 00:00:00+00'), a.id) >= (coalesce(b.recorded_at, TIMESTAMPTZ '1900-01-01 00:00:00+00'), b.id) THEN b.id ELSE a.id END AS y
+   FROM ex a JOIN ex b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.id < b.id),
+ ch AS (SELECT id AS o, regexp_extract(coalesce(invalidation_reason, ''), '^superseded by (\\S+)$', 1) AS n, t_invalid AS "at" FROM f WHERE t_invalid >= {_T} - INTERVAL 30 DAYS),
+ top AS (SELECT *, coalesce({_EFF}, 0) AS eff FROM live WHERE epistemic IS DISTINCT FROM 'commitment' AND source_type IS DISTINCT FROM 'code' AND id NOT IN (SELECT x FROM pr) ORDER BY eff DESC, subject_name, id LIMIT 50)
+SELECT 1 AS section, {_LINE} || ' (since ' || {_DAY.format("t_valid")} || ')' AS line FROM live WHERE epistemic = 'commitment'
+UNION ALL SELECT 2, {_HEAD.format("a")} || ' vs ' || {_OBJ.format("b")} FROM pr JOIN h a ON a.id = x JOIN h b ON b.id = y
+UNION ALL SELECT 3, {_HEAD.format("a")} || CASE WHEN b.id IS NULL THEN ' (no longer)' ELSE ' → ' || {_OBJ.format("b")} END || ' (' || {_DAY.format('"at"')} || ')' FROM ch JOIN h a ON a.id = o LEFT JOIN h b ON b.id = n WHERE n <> ''
+UNION ALL SELECT 4, {_LINE} || printf(' (%.2f)', eff) FROM top"""
 )
 def context_sections(spark, folder):
-    pairs = spark.createDataFrame([], "fact_id string, candidate_id string")
-    return reports.context_lines(hydrated(spark, folder), pairs, now()).where("section IN (1, 4)").select("section", "line")
+    from factloom.operators import conflicts
+
+    pairs = conflicts.exclusive_values(live(spark, folder), table(spark, folder, "predicates"))
+    return reports.context_lines(hydrated(spark, folder), pairs, now()).select("section", "line")
 
 
 @query()
@@ -300,7 +330,7 @@ def compiled_context(spark, folder):
     from factloom.operators import conflicts
 
     pairs = conflicts.exclusive_values(live(spark, folder), table(spark, folder, "predicates"))
-    text = reports.compile_context(reports.context_lines(hydrated(spark, folder), pairs, now()), f"## Project memory (as of {kq.NOW[:10]})")
+    text = reports.compile_context(reports.context_lines(hydrated(spark, folder), pairs, now()), f"## What is known (as of {kq.NOW[:10]})")
     return spark.createDataFrame([(text, len(text.encode()))], "text string, bytes bigint")
 
 
@@ -334,3 +364,34 @@ def precision_recall(spark, folder):
 def event_rollup(spark, folder):
     e = table(spark, folder, "events").withColumn("day", F.date_trunc("day", "ts"))
     return e.rollup("day", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT source_type, count(*) AS n, median(confidence) AS median, max(confidence) AS most FROM (SELECT DISTINCT id, source_type, confidence FROM facts) WHERE confidence IS NOT NULL GROUP BY 1")
+def confidence_medians(spark, folder):
+    return measures.medians(facts(spark, folder), ["source_type"], "confidence")
+
+
+@query("SELECT predicate, count(*) AS n, count(*) FILTER (t_invalid IS NOT NULL) AS hits, round(count(*) FILTER (t_invalid IS NOT NULL) / count(*), 9) AS rate FROM (SELECT DISTINCT id, predicate, t_invalid FROM facts) GROUP BY 1")
+def closing_rates(spark, folder):
+    return measures.rates(facts(spark, folder).withColumn("closed", F.col("t_invalid").isNotNull()), ["predicate"], "closed")
+
+
+@query(
+    """WITH v AS (SELECT subject_id, predicate, scope, count(*) AS c FROM (SELECT DISTINCT id, subject_id, predicate, scope FROM facts) WHERE scope IS NOT NULL GROUP BY ALL),
+ g AS (SELECT subject_id, predicate, sum(c) AS votes, max(c) AS most FROM v GROUP BY ALL)
+SELECT g.subject_id, g.predicate, min(v.scope) AS scope, any_value(votes)::BIGINT AS votes, round(1 - any_value(most) / any_value(votes), 9) AS flip_rate FROM g JOIN v ON v.subject_id = g.subject_id AND v.predicate = g.predicate AND v.c = g.most GROUP BY 1, 2"""
+)
+def scope_majorities(spark, folder):
+    return measures.majority(facts(spark, folder), ["subject_id", "predicate"], "scope")
+
+
+_TERMS = ("schema", "cache", "lock", "replica")
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{Nd}}]+') AS l FROM documents), t AS (SELECT doc_id, len(l) AS n, unnest(l) AS term FROM w),
+ f AS (SELECT doc_id, n, term, count(*) AS tf FROM t WHERE term IN {_TERMS} GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1)
+SELECT doc_id, round(sum(tf / n * ln(1 + (SELECT count(*) FROM documents) / df)), 9) AS score FROM f JOIN d USING (term) GROUP BY 1"""
+)
+def tf_idf_scores(spark, folder):
+    return measures.tf_idf(table(spark, folder, "documents"), list(_TERMS), id="doc_id", text="text")

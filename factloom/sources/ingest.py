@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from factloom.functions import constants as K
 from factloom.functions.exprs import complete_json, content_hash, episode_ref, norm_name, parse_instant, strip_section, valid_at
+from factloom.plans.shipping import ship
 
 CANDIDATE = T.StructType([T.StructField(c, T.StringType()) for c in ("subject", "predicate", "object", "object_kind", "object-kind", "class", "epistemic", "scope")] + [T.StructField("confidence", T.DoubleType())])
 
@@ -31,11 +32,11 @@ def complete(subject: Column, predicate: Column, object_: Column) -> Column:
 
 
 def prepare_candidates(candidates: DataFrame, *, kind: str) -> DataFrame:
-    """Candidates with source type and capped confidence, ``accepted`` telling complete ones. kind: session, notes or audit.
+    """Candidates with source type and capped confidence, ``accepted`` telling complete ones. kind: session, failure, notes or audit.
 
     Notes may not commit: their commitments become observations and are marked ``demoted``.
     """
-    cap, default, source = {"session": (K.SESSION_CAP, K.SESSION_DEFAULT, "session-log"), "notes": (K.NOTES_CAP, K.NOTES_DEFAULT, "agent-note"), "audit": (K.NOTES_CAP, K.NOTES_DEFAULT, "agent-note")}[kind]
+    cap, default, source = {"session": (K.SESSION_CAP, K.SESSION_DEFAULT, "session-log"), "failure": (K.SESSION_CAP, K.SESSION_DEFAULT, "session-log"), "notes": (K.NOTES_CAP, K.NOTES_DEFAULT, "agent-note"), "audit": (K.NOTES_CAP, K.NOTES_DEFAULT, "agent-note")}[kind]
     demoted = F.coalesce(F.col("epistemic") == "commitment", F.lit(False)) if kind == "notes" else F.lit(False)
     return candidates.withColumns({
         "accepted": complete(F.col("subject"), F.col("predicate"), F.col("object")), "confidence": F.least(F.lit(cap), F.coalesce("confidence", F.lit(default))), "source_type": F.lit(source),
@@ -111,36 +112,64 @@ def evidence(texts: DataFrame, *, text: str) -> DataFrame:
     return texts.select(content_hash(F.col(text)).alias("sha256"), F.col(text).alias("content")).where("content IS NOT NULL").groupBy("sha256").agg(F.first("content").alias("content"))
 
 
+def _after(text: Column, mark: str) -> Column:
+    """What follows the first ``mark`` in a text; null where it has none."""
+    at_ = F.locate(mark, text)
+    return F.when(at_ > 0, F.substring(text, at_ + len(mark), F.length(text)))
+
+
+def _bare(text: Column, chars: str = " \"'") -> Column:
+    return F.btrim(text, F.lit(chars))
+
+
 def decision_records(files: DataFrame, *, name: str, text: str) -> DataFrame:
     """Decision records as they state themselves: name, record_id, title, status, supersedes, superseded_by, rejected.
 
-    The status is a ``Status:`` line or the first word under a status heading; options considered but not chosen, and those listed as rejected, are ``rejected``.
+    A record is Markdown. Its first heading of level one is the title, in front of which ``ADR``, a number and a dash or colon may stand; else the number is the
+    one the file name begins with. Lines ``Key: value`` give status, supersedes, superseded by and rejected (alternatives), lists by commas; the
+    status may also be the first word of a section of that name. Items of a section ``Options`` or ``Considered options`` that aren't the ``chosen option`` are
+    rejected too. Keys and headings count in any case. Null texts give no row, what isn't stated is null or empty.
     """
-    t = F.col(text)
-    one = lambda pattern, group=1: F.nullif(F.trim(F.regexp_extract(t, pattern, group)), F.lit(""))
-    listed = lambda pattern: F.filter(F.transform(F.split(F.coalesce(one(pattern), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    number = F.coalesce(F.upper(F.regexp_replace(one(r"(?im)^#\s*(ADR[-\s]?\d+)"), r"\s+", "-")), F.concat(F.lit("ADR-"), F.regexp_extract(F.col(name), r"^0*(\d{1,5})\D", 1)))
-    record = F.when(number == "ADR-", F.regexp_replace(F.col(name), r"\.[^.]*$", "")).otherwise(number)
-    body = F.regexp_extract(t, r"(?ims)^##\s*(?:considered\s+)?options\s*\n(.*?)(?:\n#|\z)", 1)
-    options = F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^\s*[-*]\s+(.+?)\s*$"), F.lit(1)), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
-    chosen = one(r"(?i)chosen option:?\s*[\"']?([^\"'\n,.]+)")
-    left = F.when(chosen.isNull(), F.array().cast("array<string>")).otherwise(F.filter(options, lambda x: F.lower(F.trim(x)) != F.lower(chosen)))
-    status = F.lower(F.coalesce(one(r"(?im)^status:\s*(\w[\w\s-]*?)\s*$"), one(r"(?is)(?:^|\n)##\s*status\s*\n+\s*(\w[\w-]*)")))
-    return files.where(t.isNotNull()).select(
-        F.col(name), record.alias("record_id"), one(r"(?m)^#\s*(?:ADR[-\s]?\d+\s*[:—-]\s*)?(.+)$").alias("title"), status.alias("status"), listed(r"(?im)^supersedes:\s*(.+)$").alias("supersedes"),
-        listed(r"(?im)^superseded[\s-]by:\s*(.+)$").alias("superseded_by"), F.array_distinct(F.concat(left, listed(r"(?im)^rejected(?:\s+alternatives)?:\s*(.+)$"))).alias("rejected"),
+    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.rtrim(F.rtrim(x), F.lit("\r")))
+    values = lambda key: F.filter(
+        F.transform(lines, lambda x: F.when(F.replace(F.lower(F.substring_index(x, ":", 1)), F.lit("-"), F.lit(" ")).isin(*key) & F.contains(x, F.lit(":")), F.trim(_after(x, ":")))), lambda v: v != ""
+    )
+    field = lambda *key: F.get(values(key), F.lit(0))
+    listed = lambda *key: F.filter(F.transform(F.split(F.coalesce(field(*key), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    # a heading and what follows it, up to the next
+    blocks = F.slice(F.split(F.concat(F.lit("\n"), F.col(text)), "\n#+ *"), 2, 1_000_000)
+    section = lambda *key: F.get(F.filter(F.transform(blocks, lambda b: F.when(F.lower(F.trim(F.substring_index(b, "\n", 1))).isin(*key), _after(b, "\n"))), lambda b: b.isNotNull()), F.lit(0))
+    heading = F.trim(F.substring(F.get(F.filter(lines, lambda x: x.startswith("#") & ~x.startswith("##")), F.lit(0)), 2, 1 << 20))
+    number = F.regexp_extract(heading, "(?i)^adr[ -]?[0-9]+", 0)
+    rest = F.trim(F.substring(heading, F.length(number) + 1, F.length(heading)))
+    parted = (number != "") & (rest.startswith(":") | rest.startswith("-") | rest.startswith("—"))
+    title = F.nullif(F.when(parted, F.trim(F.substring(rest, 2, 1 << 20))).otherwise(heading), F.lit(""))
+    by_file = F.nullif(F.regexp_extract(F.col(name), "^([0-9]{1,5})[^0-9]", 1), F.lit(""))
+    record = F.coalesce(F.nullif(F.upper(F.replace(number, F.lit(" "), F.lit("-"))), F.lit("")), F.concat(F.lit("ADR-"), by_file.cast("bigint")), F.regexp_replace(F.col(name), "[.][^.]*$", ""))
+    stated = field("status")
+    status = F.lower(F.coalesce(F.when(stated.rlike("^[A-Za-z0-9_][A-Za-z0-9_ -]*$"), stated), F.nullif(F.regexp_extract(F.btrim(section("status"), F.lit(" \n\r\t")), "^[A-Za-z0-9_][A-Za-z0-9_-]*", 0), F.lit(""))))
+    items = F.filter(F.transform(F.split(F.coalesce(section("options", "considered options"), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x.startswith("- ") | x.startswith("* "))
+    options = F.transform(items, lambda x: _bare(F.substring(x, 3, 1 << 20)))
+    said = F.lower(_bare(F.get(F.split(F.btrim(_after(F.lower(F.col(text)), "chosen option"), F.lit(" :\"'")), "[\"'\n,.]"), F.lit(0))))
+    left = F.when(F.coalesce(said, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.filter(options, lambda x: F.lower(x) != said))
+    return files.where(F.col(text).isNotNull()).select(
+        F.col(name), record.alias("record_id"), title.alias("title"), status.alias("status"), listed("supersedes").alias("supersedes"), listed("superseded by").alias("superseded_by"),
+        F.array_distinct(F.concat(left, listed("rejected", "rejected alternatives"))).alias("rejected"),
     )
 
 
 def decision_facts(records: DataFrame) -> DataFrame:
-    """One assertion for each thing a decision record states: subject, predicate, object, object_kind, epistemic, on_conflict."""
-    row = lambda p, o, k, e=None, c=None: F.struct(F.lit(p).alias("predicate"), o.alias("object"), F.lit(k).alias("object_kind"), F.lit(e).cast("string").alias("epistemic"), F.lit(c).cast("string").alias("on_conflict"))
+    """One assertion for each thing a decision record states: subject, subject_type, predicate, object, object_type, object_kind, epistemic, on_conflict."""
+    text = lambda v: F.lit(v).cast("string")
+    row = lambda p, o, k, e=None, c=None: F.struct(
+        F.lit(p).alias("predicate"), o.alias("object"), F.lit(k).alias("object_kind"), text("decision-record" if k == "entity" else None).alias("object_type"), text(e).alias("epistemic"), text(c).alias("on_conflict")
+    )
     each = lambda column, p, k, e=None: F.transform(column, lambda x: row(p, x, k, e))
     rows = F.concat(
         F.filter(F.array(row("core/has-status", F.col("status"), "literal", None, "supersede")), lambda r: r["object"].isNotNull()),
         each("supersedes", "core/supersedes", "entity"), each("superseded_by", "core/superseded-by", "entity"), each("rejected", "core/decided-against", "literal", "commitment"),
     )
-    return records.select(F.col("record_id").alias("subject"), F.explode(rows).alias("r")).select("subject", "r.*", F.lit("decision-record").alias("source_type"), F.lit(1.0).alias("confidence"))
+    return records.select(F.col("record_id").alias("subject"), F.lit("decision-record").alias("subject_type"), F.explode(rows).alias("r")).select("subject", "subject_type", "r.*", F.lit("decision-record").alias("source_type"), F.lit(1.0).alias("confidence"))
 
 
 OPENING, CLOSING = "([{", ")]}"
@@ -187,6 +216,7 @@ def code_facts(files: DataFrame, *, path: str, text: str, scope: str = K.DEFAULT
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.list_(pa.string())), strict=True)], names=["file", "ns", "requires"])
 
+    ship(files.sparkSession)
     read = files.select(F.col(path).cast("string"), text).mapInArrow(run, "file string, ns string, requires array<string>")
     local = read.select(F.col("ns").alias("object")).dropDuplicates().withColumn("local", F.lit(True))
     fact = lambda s, p, o, k: F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"), F.lit(k).alias("object_kind"))
@@ -218,10 +248,16 @@ def load(lines: DataFrame, kind: str, schema: T.StructType) -> DataFrame:
 
 
 def remint(entities: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A dump's entities under ids of this store, made of scope and normalised name, and its facts pointing at them."""
-    new = F.concat(F.lit("e-"), F.substring(F.sha2(F.concat_ws("\0", "scope", norm_name(F.col("name")), "id"), 256), 1, 16))
-    mapped = entities.withColumn("__new", new)
-    ids = mapped.select(F.col("id").alias("old"), F.col("__new").alias("new"))
+    """A dump's entities under ids of this store, made of scope and normalised name, and its facts pointing at them.
+
+    Entities of one scope and normalised name become one, named as the one of the smallest id, with the other names and all aliases as aliases.
+    """
     from factloom.operators.resolve import repoint
 
-    return mapped.withColumn("id", F.col("__new")).drop("__new"), repoint(facts, ids).drop("touched")
+    key = F.concat_ws("\0", F.coalesce("scope", F.lit(K.DEFAULT_SCOPE)), F.coalesce(norm_name(F.col("name")), "id"))
+    mapped = entities.withColumn("__new", F.concat(F.lit("e-"), F.substring(F.sha2(key, 256), 1, 12)))
+    others = [c for c in entities.columns if c not in ("id", "name", "aliases")]
+    known = F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))))
+    one = mapped.groupBy("__new").agg(F.min_by("name", "id").alias("name"), known.alias("aliases"), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c) for c in others))
+    one = one.withColumn("aliases", F.array_compact(F.array_except("aliases", F.array("name")))).withColumnRenamed("__new", "id").select(*entities.columns)
+    return one, repoint(facts, mapped.select(F.col("id").alias("old"), F.col("__new").alias("new"))).drop("touched")
