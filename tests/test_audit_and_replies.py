@@ -10,7 +10,7 @@ def test_replies(spark):
     rows = ['{"relation":"duplicate","confidence":1.7}', 'Sure:\n{"x":1}\n{"relation":"Supersedes","confidence":0.9}\n{"relation":"compatible"}', "no idea", None, '{"relation":"hm"}', '{"relation":"compatible"}']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string").select("i", replies.judgment(F.col("r")).alias("j"), replies.summary(F.col("r"), 10).alias("s")).orderBy("i")
     got = df.collect()
-    assert [tuple(r.j) for r in got] == [("duplicate", 1.0), ("supersedes", 0.9), ("unparseable", 0.0), ("unparseable", 0.0), ("unparseable", 0.0), ("compatible", 0.0)]
+    assert [tuple(r.j)[:2] for r in got] == [("duplicate", 1.0), ("supersedes", 0.9), ("unparseable", 0.0), ("unparseable", 0.0), ("unparseable", 0.0), ("compatible", 0.0)]
     assert got[2].s == "no idea" and got[3].s is None and got[0].s == '{"relation…'
     a = spark.createDataFrame([('ok ["Auth", "login", "login", " ", "sso", "x", "y"] ["z"]', "auth", ["SSO"]), ("none", "a", None), (None, "a", None)], "r string, n string, h array<string>")
     assert [r.x for r in a.select(replies.aliases(F.col("r"), F.col("n"), F.col("h")).alias("x")).collect()] == [["login", "x", "y"], [], []]

@@ -110,7 +110,7 @@ def test_episodes_context_and_round_trip(kg, spark, tmp_path):
     assert ep["ep-2"] == (None, False) and ep["ep-1"][1]
     assert ep["ep-1"][0].startswith("session-log episode (sess-1): 6 facts — 2 core/depends-on, 1 core/decided-against")
     text = kg.compile_context(NOW)
-    assert '- shoply decided-against "GraphQL" (since 2026-01-03)' in text and "### Open conflicts" in text and len(text.encode()) <= 25_000
+    assert '- shoply decided-against "GraphQL" (since 2026-01-03)' in text and "### Statements at odds" in text and len(text.encode()) <= 25_000
     lines = done.dump()
     back = KnowledgeGraph.load(spark, lines, done)
     for n in ("entities", "episodes", "predicates", "links"):
