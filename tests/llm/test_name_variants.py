@@ -228,3 +228,66 @@ def test_a_family_is_compared_by_what_its_names_say():
     took(500)
     (few, a), (many, b) = took(2000), took(8000)
     assert a == b == 500 and many < 9 * few  # in proportion, not by the square
+
+
+def test_a_bucket_links_all_words_but_those_with_a_leader_in_common():
+    r = random.Random(4)
+    base = ["".join(r.choice("bcdfgk") + r.choice("aeiou") for _ in range(4)) for _ in range(6)]
+    words = list(dict.fromkeys(w[:i] + c + w[i + 1 :] for w in base for i in range(8) for c in "xyz"[: 1 + i % 3]))
+    r.shuffle(words)
+    alike = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if same_word(a, b)}
+    plain = V.Leaders(V.Signed()).add(words, True)
+    for size in (1, 7, 1000):
+        held, got = V.Leaders(V.Signed(), rest=True), []
+        for i in range(0, len(words), size):
+            got += held.add(words[i : i + size], i + size >= len(words))
+        assert set(plain) <= set(got) <= alike and len(got) == len(set(got))
+        led = {w: {a for a, b in plain if b == w} for w in words}
+        assert all((a, b) in set(got) or led[a] & led[b] for a, b in alike)
+    few = ["zacomabeki", "vecotibuko", "zacomabuko", "zacotibuko"]
+    assert set(V.Leaders(V.Signed(), rest=True).add(few, True)) == set(zip(few[:2] + few[2:3], few[2:] + few[3:], strict=True))
+
+
+def test_whatever_is_linked_shares_a_star(spark):
+    r = random.Random(6)
+    names = [f"w{i:02d}" for i in range(40)]
+    uses = [(w, r.randrange(4)) for w in names]
+    pairs = {tuple(r.sample(names, 2)) for _ in range(60)}
+    links = pairs | {(b, a) for a, b in pairs} | {(f"s{i}", "hub") for i in range(5)} | {("hub", f"s{i}") for i in range(5)}
+    links_df = spark.createDataFrame(list(links), "a string, b string")
+    words = spark.createDataFrame([*uses, ("hub", 9), *((f"s{i}", 1) for i in range(5))], "word string, n bigint")
+    centres = V.stars(links_df, words)
+    of = {}
+    for x in V.families(links_df, words, centres).collect():
+        assert x.word == x.family or (x.word, x.family) in links
+        assert x.family not in of.setdefault(x.word, set())
+        of[x.word].add(x.family)
+    assert all(of[a] & of[b] for a, b in links) and all(of[b] & of[c] for a, b in links for x, c in links if x == a)
+    assert all(c.centre in of[c.word] for c in centres.collect()) and all(of[f"s{i}"] == of["hub"] == {"hub"} for i in range(5))
+
+
+def test_spellings_between_two_centres_link_both(spark):
+    one = lambda family: [(f"{family[:6]}{i}", f"Samuel {family}", "person", "p", None) for i in range(3)]
+    between = [*one("Zacomabeki"), *one("Zacotibuko"), ("w", "Samuel Zacomabuko", "person", "q", None), ("v", "Anthony Zacomabuko", "person", "q", None), ("u", "Anthony Zacotibuko", "person", "p", None)]
+    assert clusters(spark, between) == {frozenset(r[0] for r in between if r[0] not in "vu"), frozenset("vu")}
+    # neither is like the other's centre
+    satellites = [*one("Zacomabeki"), *one("Vecotibuko"), ("w", "Samuel Zacomabuko", "person", "q", None), ("v", "Samuel Zacotibuko", "person", "p", None), ("u", "Anthony Vecotibuko", "person", "p", None)]
+    assert clusters(spark, satellites) == {frozenset(r[0] for r in satellites if r[0] != "u"), frozenset("u")}
+    # two key words, each between centres of its own
+    other = [("a", "Samuel Hujanirova Zacomabuko", "person", "p", None), ("b", "Samuel Hujanirova Zacotibuko", "person", "q", None), ("c", "Samuel Bekosawimu Zacotibuko", "person", "p", None), *((i, n.replace("Samuel", "Robert"), *x) for i, n, *x in satellites if i not in "wvu")]
+    assert {frozenset("ab"), frozenset("c")} <= clusters(spark, other)
+
+
+def test_a_name_without_a_given_name_makes_no_two_people_one(spark):
+    people = [(f"z{i}", "Samuel Zacomabeki", "person", "p", None) for i in range(3)] + [(f"t{i}", "Anthony Zacotibuko", "person", "p", None) for i in range(2)]
+    # between both centres: the more used one's star decides, where it fits nobody the other's does
+    got = clusters(spark, [*people, ("bare", "zacomabuko", None, "q", None), ("init", "A. Zacomabuko", "person", "q", None), ("none", "R. Zacomabuko", "person", "q", None)])
+    assert got == {frozenset({"z0", "z1", "z2"}), frozenset({"t0", "t1", "init"}), frozenset({"none"})}
+    assert clusters(spark, [*people, ("bare", "zacomabuko", None, "q", None)]) == {frozenset({"z0", "z1", "z2", "bare"}), frozenset({"t0", "t1"})}
+    found = [("r", "r", None, True), ("s", "s", None, True), ("a", "a", "0 w", True), ("r", "a", "0 w", False), ("s", "a", "0 w", False), ("b", "b", "0 w", True), ("r", "b", "0 w", False), ("r", "c", "0 w", True), ("s", "c", "0 w", False)]
+    found += [(None, "d", "0 w", True), ("s", "d", "0 w", False), ("e", "e", "0 w", True), (None, "e", "0 w", False), ("s", "e", "0 w", False)]
+    df = spark.createDataFrame(found, "cluster string, id string, of string, first boolean")
+    same = [("r", "r"), ("s", "s"), ("a", "a"), ("b", "b"), ("r", "b"), ("r", "c"), ("e", "e")]
+    assert sorted(tuple(x) for x in V.settled(df).collect()) == sorted(same)
+    both = spark.createDataFrame([*found, ("r", "s", None, True)], df.schema)
+    assert ("r", "a") in {tuple(x) for x in V.settled(both).collect()}
