@@ -1,7 +1,7 @@
 """Repetition inside a document, and cutoffs on it whose error is controlled.
 
 Three shares are measured in each text: of words in repeated runs of 8 words, of words in repeated sentences, of words in repeated
-paragraphs. A cutoff on a share rejects the documents at or above it. Cutoffs are chosen per stratum on a labelled holdout: the lowest
+paragraphs. A cutoff on a share rejects the documents at or above it. Cutoffs are chosen per stratum on labelled rows, all there are: the lowest
 cutoff whose false-rejection rate is at most ``alpha``, by an exact binomial upper bound, with the error probability ``delta`` shared out over
 all strata and measures (Bonferroni) and cutoffs tested in fixed order from the strictest down.
 """
@@ -131,10 +131,17 @@ def binomial_upper(errors: int, n: int, delta: float) -> float:
     """The exact (Clopper-Pearson) upper bound at confidence 1 - delta of a rate of which ``errors`` in ``n`` were seen."""
     if n <= 0 or errors >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(errors + 1)]
+    log = math.lgamma(n + 1) - math.lgamma(errors + 1) - math.lgamma(n - errors + 1)
 
     def at_most(p: float) -> float:
-        return sum(math.exp(c + k * math.log(p) + (n - k) * math.log1p(-p)) for k, c in enumerate(logs))
+        # above the seen rate the chances fall from ``errors`` down, so the sum ends where they no longer count, after a number like the root of ``errors``
+        term = total = math.exp(log + errors * math.log(p) + (n - errors) * math.log1p(-p))
+        for k in range(errors, 0, -1):
+            term *= k / (n - k + 1) * (1 - p) / p
+            total += term
+            if term <= total * 1e-18:
+                break
+        return total
 
     low, high = errors / n, 1.0
     for _ in range(60):
@@ -152,7 +159,7 @@ def choose_cutoffs(
 ) -> DataFrame:
     """Per stratum and measure the lowest certified cutoff: ``stratum``, ``measure``, ``cutoff``, ``certified``, ``n_good``, ``bound``.
 
-    labelled: rows of a holdout with the shares of :func:`measure` and the BOOLEAN label ``bad``. A good row at or above a cutoff is a false
+    labelled: rows with the shares of :func:`measure` and the BOOLEAN label ``bad``. A good row at or above a cutoff is a false
     rejection. Cutoffs of ``grid`` are tested from the highest down and testing stops at the first whose bound exceeds ``alpha``; a fixed
     order needs no correction within a stratum and measure, and over the ``tests`` = strata x measures of them ``delta`` is divided.
     Where even the highest isn't certified, ``cutoff`` is the measure's ``default`` (none: reject nothing) and ``certified`` is false.
@@ -193,8 +200,10 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
-def holdout(measured: DataFrame, *, id: str, stratum: list[str], bad: Column, per_stratum: int = 2000, seed: int = 7) -> DataFrame:
-    """A labelled holdout: of each stratum about ``per_stratum`` rows at most, drawn by a hash of the id. The bound is this parameter."""
+def holdout(measured: DataFrame, *, id: str, stratum: list[str], bad: Column, per_stratum: int | None = None, seed: int = 7) -> DataFrame:
+    """The labelled rows: all of them, or of each stratum about ``per_stratum`` at most, drawn by a hash of the id, where labels cost too much."""
+    if per_stratum is None:
+        return measured.withColumn("bad", bad)
     counted = measured.groupBy(*stratum).agg(F.count(F.lit(1)).alias("__n"))
     rows = counted.collect()  # one row per stratum
     n = measured.sparkSession.createDataFrame(rows, counted.schema)
@@ -203,10 +212,10 @@ def holdout(measured: DataFrame, *, id: str, stratum: list[str], bad: Column, pe
 
 
 def certify(
-    measured: DataFrame, *, id: str, stratum: list[str], bad: Column, grid: tuple[float, ...], alpha: float, delta: float = 0.05, default: dict[str, float] | None = None, per_stratum: int = 2000,
+    measured: DataFrame, *, id: str, stratum: list[str], bad: Column, grid: tuple[float, ...], alpha: float, delta: float = 0.05, default: dict[str, float] | None = None, per_stratum: int | None = None,
     measures: tuple[str, ...] = MEASURES,
 ) -> DataFrame:
-    """The cutoffs of :func:`choose_cutoffs` on a :func:`holdout` whose rows ``bad`` labels."""
+    """The cutoffs of :func:`choose_cutoffs` on all rows, or a :func:`holdout` of ``per_stratum``, which ``bad`` labels."""
     labelled = holdout(measured, id=id, stratum=stratum, bad=bad, per_stratum=per_stratum)
     return choose_cutoffs(labelled, stratum=stratum, bad="bad", grid=grid, alpha=alpha, delta=delta, default=default, measures=measures)
 

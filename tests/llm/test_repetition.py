@@ -112,3 +112,28 @@ def test_the_cutoff_decides_what_is_rejected(spark, label):
     assert {(c.lang, c.cutoff, c.certified) for c in cut.collect()} == {("en", label, True), (None, label, True), ("spam", 0.8, False)}
     got = {x.id for x in R.reject(df, cut, ["lang"]).where("size(rejected_by) > 0").collect()}
     assert got == {i for i, lang, w in rows if w >= (0.8 if lang == "spam" else label)}
+
+
+def test_cutoffs_rest_on_all_rows(spark, tmp_path, monkeypatch):
+    from factloom.llm import queries as Q
+
+    n = 21_000  # 40 good ones between 0.25 and 0.3 are more than 0.1% of all
+    rows = spark.range(n).select("id", F.lit("en").alias("lang"), F.when(F.col("id") < 40, 0.27).when(F.col("id") < 100, 0.6).otherwise(0.0).alias("words"))
+    cut = R.certify(rows, id="id", stratum=["lang"], bad=F.col("words") >= 0.5, grid=(0.5, 0.3, 0.25), alpha=0.001, measures=("words",)).collect()
+    assert [(c.n_good, c.cutoff, c.bound) for c in cut] == [(n - 60, 0.3, R.binomial_upper(0, n - 60, 0.05))]
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("de").alias("lang"), F.lit("eins zwei").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    made, choose = [], R.choose_cutoffs
+    monkeypatch.setattr(R, "choose_cutoffs", lambda *a, **k: made.append(choose(*a, **k)) or made[-1])
+    assert Q.p8_found(spark, str(tmp_path)).count() == 0 and Q.p8_cutoffs(spark, str(tmp_path)).count() == 3
+    assert [{r.n_good for r in c.collect()} for c in made] == [{n}, {n}]
+
+
+def test_the_bound_of_many_rows():
+    import time
+
+    began = time.perf_counter()
+    for k, n in ((4 * 10**6, 10**9), (10**6, 5 * 10**7), (0, 10**9)):
+        above = R.binomial_upper(k, n, 0.01) - k / n
+        sd = (k * (n - k) / n**3) ** 0.5
+        assert above == pytest.approx(2.326 * sd, rel=0.01) if k else above == pytest.approx(4.605 / n, rel=0.01)
+    assert time.perf_counter() - began < 20
