@@ -258,7 +258,7 @@ def test_whatever_is_linked_shares_a_star(spark):
     words = spark.createDataFrame([*uses, ("hub", 9), *((f"s{i}", 1) for i in range(5))], "word string, n bigint")
     centres = V.stars(links_df, words)
     of = {}
-    for x in V.families(links_df, words, centres).collect():
+    for x in V.families(links_df, centres).collect():
         assert x.word == x.family or (x.word, x.family) in links
         assert x.family not in of.setdefault(x.word, set())
         of[x.word].add(x.family)
